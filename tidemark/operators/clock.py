@@ -45,7 +45,7 @@ def candidates(stamps: DataFrame, files: DataFrame, packages: DataFrame, anchors
         .join(where.drop("archive"), "file_id", "left")
         .join(best_anchors(anchors), "boot_id", "left")
     )
-    mono = F.floor((F.col("wall_us") * 1000 + F.round(F.col("mono_s") * 1_000_000).cast("bigint") * 1000 - F.col("monotonic_ns")) / F.lit(1000))
+    mono = F.col("wall_us") + F.round(F.col("mono_s") * 1_000_000).cast("bigint") - F.ceil(F.col("monotonic_ns") / F.lit(1000))
     one = lambda us: F.array(F.struct(us.alias("early"), us.alias("late")))
     dated = with_interpretations(rows, "stamp", "timezone", "collected")
     # the most recent valid interpretation first: a format fixes all but the year, which the array is ordered by
