@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import clock, intervals
+from tidemark.operators import clock, intervals, loglines
 from tidemark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,15 @@ def timeline(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_entries(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "log_lines").where(F.col("parse_status") == "UNPARSED")
+    return loglines.entries(lines, "file_id", "line_no", "raw_line")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_entries(spark, d).select("file_id", "line_no", "line_span", "level_norm", "logger")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     found = clock.candidates(*[table(spark, d, t) for t in ("parse_results", "files", "packages", "clock_anchors")])
     return clock.resolve(found)
@@ -40,7 +49,7 @@ def p6_periods(spark: SparkSession, d: str) -> DataFrame:
     return intervals.set_runs(_phase_runs(spark, d), ["run_id", "component"])
 
 
-QUERIES: dict[str, Query] = {"timeline": timeline, "p4_found": p4_found, "p6_found": p6_found, "p6_periods": p6_periods}
+QUERIES: dict[str, Query] = {"timeline": timeline, "p1_found": p1_found, "p1_entries": p1_entries, "p4_found": p4_found, "p6_found": p6_found, "p6_periods": p6_periods}
 
 _SPANS = """
 WITH s AS (SELECT run_id, component, epoch_us(min(ts_utc)) AS a, epoch_us(max(ts_utc)) AS b FROM log_lines
