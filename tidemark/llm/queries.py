@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import copies, runs, term_stats, tokenizer
+from tidemark.llm import copies, packing, runs, spam, term_stats, tokenizer
 from tidemark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,24 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in a container of every tier."""
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_budgets"), "doc_id", "text")
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and share of space unused by tier."""
+    return packing.fill(p9_pack(spark, d))
+
+
+def p10_pages(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_pages(spark, d).select("doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_terms": p3_terms,
@@ -70,6 +88,10 @@ QUERIES: dict[str, Query] = {
     "p7_found": p7_found,
     "p7_copies": p7_copies,
     "p8_ids": p8_ids,
+    "p9_pack": p9_pack,
+    "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_pages": p10_pages,
 }
 
 _P3 = """
