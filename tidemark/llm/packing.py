@@ -118,6 +118,16 @@ def pack_shard(ids: np.ndarray, tokens: np.ndarray, tiers: list[tuple[str, int]]
     return pd.concat(out, ignore_index=True)
 
 
+def _packer(row_id: str, tiers: list[tuple[str, int]]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(row_id)
+        out = pack_shard(pdf[row_id].to_numpy(), pdf["n_tokens"].to_numpy(), tiers)
+        out["shard"] = int(pdf["shard"].iloc[0])
+        return out
+
+    return run
+
+
 def pack_documents(
     df: DataFrame, budgets: DataFrame, row_id: str, text: str, tokenizer_dir: str = TOKENIZER_DIR, shard_items: int = SHARD_ITEMS
 ) -> DataFrame:
@@ -139,16 +149,9 @@ def pack_documents(
         own = [(t, c) for t, c, n in tiers if n == name]
         sizes = materialize(encode_corpus(docs, row_id, text, name, tokenizer_dir, counts_only=True))
         shards = max(1, round(sizes.count() / shard_items))
-
-        def run(pdf: pd.DataFrame, own=own) -> pd.DataFrame:
-            pdf = pdf.sort_values(row_id)
-            out = pack_shard(pdf[row_id].to_numpy(), pdf["n_tokens"].to_numpy(), own)
-            out["shard"] = int(pdf["shard"].iloc[0])
-            return out
-
         # by the row's place in the written table, so that a repeated id is spread too
         dealt = sizes.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id(), row_id), F.lit(shards)))
-        part = dealt.groupBy("shard").applyInPandas(run, schema)
+        part = dealt.groupBy("shard").applyInPandas(_packer(row_id, own), schema)
         packed = part if packed is None else packed.union(part)
     if packed is None:
         packed = df.sparkSession.createDataFrame([], schema)
