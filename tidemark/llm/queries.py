@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import copies, packing, runs, spam, term_stats, tokenizer
+from tidemark.llm import copies, encoding, packing, runs, spam, term_stats, tokenizer
 from tidemark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every affected record with the chain that restores it ('' where nothing is left to restore it from)."""
+    done = encoding.repair(table(spark, d, "raw_records"), "rec_id", "text", "raw_bytes")
+    return done.where("affected").drop("affected").distinct()
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_restored(spark, d).select("rec_id").where(F.col("rec_id").isNotNull()).distinct()
+
+
 def p3_terms(spark: SparkSession, d: str) -> DataFrame:
     stats = term_stats.term_frequencies(table(spark, d, "log_lines"), "template_id", "file_id", "line_id")
     return term_stats.mark_terms(stats).select(
@@ -81,6 +91,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
     "p3_found": p3_found,
     "p3_terms": p3_terms,
     "p5_found": p5_found,
