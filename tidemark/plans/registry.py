@@ -8,19 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import clock, intervals, loglines
+from tidemark.plans import reference
 from tidemark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def timeline(spark: SparkSession, d: str) -> DataFrame:
-    return (
-        table(spark, d, "log_lines")
-        .groupBy(F.floor(F.unix_micros("ts_utc") / 60_000_000).alias("minute"), "component")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("level_num") >= 40).alias("errors"), F.count_if(F.col("level_num") == 30).alias("warns"))
-    )
-
-
 def p1_entries(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "log_lines").where(F.col("parse_status") == "UNPARSED")
     return loglines.entries(lines, "file_id", "line_no", "raw_line")
@@ -49,7 +42,7 @@ def p6_periods(spark: SparkSession, d: str) -> DataFrame:
     return intervals.set_runs(_phase_runs(spark, d), ["run_id", "component"])
 
 
-QUERIES: dict[str, Query] = {"timeline": timeline, "p1_found": p1_found, "p1_entries": p1_entries, "p4_found": p4_found, "p6_found": p6_found, "p6_periods": p6_periods}
+QUERIES: dict[str, Query] = {**reference.QUERIES, "p1_found": p1_found, "p1_entries": p1_entries, "p4_found": p4_found, "p6_found": p6_found, "p6_periods": p6_periods}
 
 _SPANS = """
 WITH s AS (SELECT run_id, component, epoch_us(min(ts_utc)) AS a, epoch_us(max(ts_utc)) AS b FROM log_lines
@@ -58,7 +51,7 @@ WITH s AS (SELECT run_id, component, epoch_us(min(ts_utc)) AS a, epoch_us(max(ts
 m AS (SELECT *, max(b) OVER (PARTITION BY run_id, component ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
 p AS (SELECT *, sum(CASE WHEN a <= before THEN 0 ELSE 1 END) OVER (PARTITION BY run_id, component ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS period FROM m)"""
 ORACLE: dict[str, str] = {
-    "timeline": "SELECT CAST(floor(epoch_us(ts_utc) / 60000000) AS BIGINT) AS minute, component, count(*) AS n, count(*) FILTER (level_num >= 40) AS errors, count(*) FILTER (level_num = 30) AS warns FROM log_lines GROUP BY ALL",
+    **reference.ORACLE,
     "p6_found": _SPANS + " SELECT run_id, component, before AS gap_from_us, a AS gap_to_us FROM m WHERE a - before >= 30000000",
     "p6_periods": _SPANS + " SELECT run_id, component, min(a) AS start_us, max(b) AS end_us FROM p GROUP BY run_id, component, period",
 }
