@@ -82,7 +82,7 @@ def with_interpretations(df: DataFrame, raw: str, zone: str, collected: str, out
     array, as does null. Each step is a projection of its own, so that no part is evaluated twice.
     """
     zones = known_zones()
-    parts, printed = F.col("_parts"), F.col("_printed")
+    parts, printed = F.col("_tm_parts"), F.col("_tm_printed")
     month = F.lower(parts[1])
     number = month.try_cast("int")
     for i, name in enumerate(MONTHS, 1):
@@ -112,7 +112,7 @@ def with_interpretations(df: DataFrame, raw: str, zone: str, collected: str, out
         "collected_year": F.year(F.col(collected)),
     }
     # columns, not a struct: the optimiser would inline a struct's fields into the lambdas
-    s = {name: F.col(f"_{name}") for name in fields}
+    s = {name: F.col(f"_tm_{name}") for name in fields}
     back = F.sequence(s["collected_year"] + 1, s["collected_year"] - YEARS_BACK, F.lit(-1))
     years = F.when(s["no_year"], F.when(s["collected"].isNotNull(), back)).when(s["year"] >= 1, F.array(s["year"]))
 
@@ -139,12 +139,12 @@ def with_interpretations(df: DataFrame, raw: str, zone: str, collected: str, out
     bound = lambda x: x["early"].isNotNull() & (~s["no_year"] | (x["early"] <= s["collected"] + DAY_US))
     none = F.array().cast("array<struct<early:bigint,late:bigint>>")
     return (
-        df.withColumn("_parts", stamp_parts(F.col(raw)))
-        .withColumn("_printed", F.regexp_replace(F.col("_parts")[8], r"[\[\]]", ""))
-        .withColumns({f"_{name}": field for name, field in fields.items()})
-        .withColumn("_dates", F.transform(years, local))
-        .withColumn("_dates", F.filter(F.transform("_dates", early), bound))
-        .withColumn("_dates", F.transform("_dates", late))
-        .withColumn(out, F.coalesce(F.transform("_dates", both), none))
-        .drop("_parts", "_printed", "_dates", *[f"_{name}" for name in fields])
+        df.withColumn("_tm_parts", stamp_parts(F.col(raw)))
+        .withColumn("_tm_printed", F.regexp_replace(F.col("_tm_parts")[8], r"[\[\]]", ""))
+        .withColumns({f"_tm_{name}": field for name, field in fields.items()})
+        .withColumn("_tm_dates", F.transform(years, local))
+        .withColumn("_tm_dates", F.filter(F.transform("_tm_dates", early), bound))
+        .withColumn("_tm_dates", F.transform("_tm_dates", late))
+        .withColumn(out, F.coalesce(F.transform("_tm_dates", both), none))
+        .drop("_tm_parts", "_tm_printed", "_tm_dates", *[f"_tm_{name}" for name in fields])
     )

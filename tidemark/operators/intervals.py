@@ -26,25 +26,25 @@ def run_bitmaps(intervals: DataFrame, entity: list[str], start: str, end: str, s
     """
     width = F.lit(shard_us)
     parts = (
-        intervals.select(*entity, F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"))
+        intervals.select(*entity, F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"))
         .dropna()
-        .where(F.col("s") <= F.col("e"))
-        .withColumn("shard", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))))
+        .where(F.col("_s") <= F.col("_e"))
+        .withColumn("_shard", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))))
         .select(
             *entity,
-            "shard",
-            F.greatest("s", F.col("shard") * width).alias("a"),
-            F.least("e", (F.col("shard") + 1) * width).alias("b"),
+            "_shard",
+            F.greatest("_s", F.col("_shard") * width).alias("_a"),
+            F.least("_e", (F.col("_shard") + 1) * width).alias("_b"),
         )
     )
-    order = Window.partitionBy(*entity, "shard").orderBy("a", "b")
-    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    order = Window.partitionBy(*entity, "_shard").orderBy("_a", "_b")
+    before = F.max("_b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        parts.withColumn("new", F.coalesce(F.col("a") > before, F.lit(True)).cast("int"))
-        .withColumn("run", F.sum("new").over(order))
-        .groupBy(*entity, "shard", "run")
-        .agg(F.min("a").alias("a"), F.max("b").alias("b"))
-        .drop("run")
+        parts.withColumn("_new", F.coalesce(F.col("_a") > before, F.lit(True)).cast("int"))
+        .withColumn("_run", F.sum("_new").over(order))
+        .groupBy(*entity, "_shard", "_run")
+        .agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+        .drop("_run")
     )
 
 
@@ -53,31 +53,31 @@ def clear_runs(runs: DataFrame, entity: list[str]) -> DataFrame:
 
     Inside a shard a gap is between neighbours; between shards only each shard's first and last set unit are needed.
     """
-    within = Window.partitionBy(*entity, "shard").orderBy("a")
-    inside = runs.select(*entity, F.lag("b").over(within).alias("gap_from_us"), F.col("a").alias("gap_to_us"))
-    along = Window.partitionBy(*entity).orderBy("shard")
+    within = Window.partitionBy(*entity, "_shard").orderBy("_a")
+    inside = runs.select(*entity, F.lag("_b").over(within).alias("gap_from_us"), F.col("_a").alias("gap_to_us"))
+    along = Window.partitionBy(*entity).orderBy("_shard")
     between = (
-        runs.groupBy(*entity, "shard")
-        .agg(F.min("a").alias("a"), F.max("b").alias("b"))
-        .select(*entity, F.lag("b").over(along).alias("gap_from_us"), F.col("a").alias("gap_to_us"))
+        runs.groupBy(*entity, "_shard")
+        .agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+        .select(*entity, F.lag("_b").over(along).alias("gap_from_us"), F.col("_a").alias("gap_to_us"))
     )
     return inside.union(between).where(F.col("gap_from_us") < F.col("gap_to_us"))
 
 
 def set_runs(runs: DataFrame, entity: list[str], shard_us: int = SHARD_US) -> DataFrame:
     """entity, start_us, end_us: continuous periods. Only runs that reach a border of their shard are chained."""
-    low, high = F.col("shard") * shard_us, (F.col("shard") + 1) * shard_us
-    edge = (F.col("a") == low) | (F.col("b") == high)
-    along = Window.partitionBy(*entity).orderBy("a", "b")
+    low, high = F.col("_shard") * shard_us, (F.col("_shard") + 1) * shard_us
+    edge = (F.col("_a") == low) | (F.col("_b") == high)
+    along = Window.partitionBy(*entity).orderBy("_a", "_b")
     chained = (
         runs.where(edge)
-        .withColumn("chain", F.sum(F.coalesce(F.col("a") > F.lag("b").over(along), F.lit(True)).cast("int")).over(along))
-        .groupBy(*entity, "chain")
-        .agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        .withColumn("_chain", F.sum(F.coalesce(F.col("_a") > F.lag("_b").over(along), F.lit(True)).cast("int")).over(along))
+        .groupBy(*entity, "_chain")
+        .agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
     )
     return (
         runs.where(~edge)
-        .select(*entity, "a", "b")
-        .union(chained.select(*entity, "a", "b"))
-        .select(*entity, F.col("a").alias("start_us"), F.col("b").alias("end_us"))
+        .select(*entity, "_a", "_b")
+        .union(chained.select(*entity, "_a", "_b"))
+        .select(*entity, F.col("_a").alias("start_us"), F.col("_b").alias("end_us"))
     )
