@@ -42,7 +42,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = current.get() if current.isDefined() else None
     if not root:
         root = "file://" + os.path.join(tempfile.gettempdir(), LOCAL_CHECKPOINT_DIR)
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)
     return root
 
 
