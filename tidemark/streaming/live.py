@@ -21,10 +21,13 @@ def once(lines: DataFrame, late: str = LATE) -> DataFrame:
     return lines.withWatermark("ts_utc", late).dropDuplicatesWithinWatermark(["line_id"])
 
 
-def timeline(lines: DataFrame, bucket: str = "1 minute", late: str = LATE) -> DataFrame:
-    """bucket (start), component, n, errors, warns; a bucket comes out when the watermark passes its end."""
+def timeline(lines: DataFrame, bucket: str = "1 minute", late: str | None = LATE) -> DataFrame:
+    """bucket (start), component, n, errors, warns; a bucket comes out when the watermark passes its end.
+
+    late is None for lines that have a watermark already, as from once().
+    """
     return (
-        lines.withWatermark("ts_utc", late)
+        (lines.withWatermark("ts_utc", late) if late else lines)
         .groupBy(F.window("ts_utc", bucket), "component")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("level_num") >= 40).alias("errors"), F.count_if(F.col("level_num") == 30).alias("warns"))
         .select(F.col("window.start").alias("bucket"), "component", "n", "errors", "warns")
