@@ -112,7 +112,7 @@ class Describer:
 
     def __call__(self, text: str) -> float:
         data = text.encode("utf-8", "surrogatepass")
-        return min(len(c.compress(data)) for c in self.by.values()) + ODD_COST * len(ODD.findall(text))
+        return min(len(c.compress(data)) for c in self.by.values()) + ODD_COST * (len(ODD.findall(text)) + len(SURE.findall(text)))
 
     def best(self, text: str, extra: dict[str, tuple[str, float]] | None = None) -> tuple[str, str]:
         """The reading with the shortest description, and its chain ('' if it is the text itself)."""
