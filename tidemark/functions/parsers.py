@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import key_values
@@ -38,7 +38,7 @@ LEVELS = {
 }
 CN_LEVELS = {"调试": "DEBUG", "信息": "INFO", "提示": "INFO", "警告": "WARN", "错误": "ERROR", "严重": "FATAL"}
 KERNEL_LEVELS = ["FATAL", "FATAL", "FATAL", "ERROR", "WARN", "NOTICE", "INFO", "DEBUG"]
-FIELDS = ["ts", "mono", "level_raw", "level_norm", "logger", "process", "pid", "tid", "src_loc", "message"]
+FIELDS = ["ts_kind", "ts", "mono", "level_raw", "level_norm", "logger", "process", "pid", "tid", "src_loc", "message", "fields", "status"]
 
 
 def first_line(raw: Column) -> Column:
@@ -72,42 +72,51 @@ def level_norm(raw: Column) -> Column:
     return out
 
 
-def parsed(line: Column, name: Column, json: Column) -> Column:
-    """Struct of FIELDS, kind of time and status; line is a first line, name and json its columns."""
+def groups(line: Column, name: Column) -> Column:
+    """The groups of the matching format's pattern as an array of texts: each line goes through its own pattern once."""
+    out = None
+    for fmt, _, pattern, names in FORMATS:
+        order = "\x01".join(f"${i}" for i in range(1, len(names) + 1))
+        out = (F if out is None else out).when(name == fmt, F.regexp_replace(line, pattern, order))
+    return F.split(out, "\x01")
+
+
+def with_parsed(df: DataFrame, line: str, name: str, json: str) -> DataFrame:
+    """Adds FIELDS; line, name and json are columns as of the functions above.
+
+    Each step is a projection of its own, so that no pattern is matched twice.
+    """
+    got, fmt = F.col("_tm_groups"), F.col(name)
 
     def pick(*wanted: str) -> Column:
-        out = None
-        for fmt, _, pattern, groups in FORMATS:
-            for w in wanted:
-                if w in groups:
-                    got = F.nullif(F.regexp_extract(line, pattern, groups.index(w) + 1), F.lit(""))
-                    out = (F if out is None else out).when(name == fmt, got)
-                    break
+        out = F.when(fmt.isNull(), None)
+        for w in wanted:
+            for f, _, _, names in FORMATS:
+                if w in names:
+                    out = out.when(fmt == f, F.nullif(got[names.index(w)], F.lit("")))
         keys = next((JSON_KEYS[w] for w in wanted if w in JSON_KEYS), None)
-        if keys:
-            out = out.when(name == "json_line", F.coalesce(*[F.try_element_at(json, F.lit(k)) for k in keys]))
-        return out
+        return out.when(fmt == "json_line", F.coalesce(*[F.try_element_at(json, F.lit(k)) for k in keys])) if keys else out
 
-    level = pick("level", "level_cn", "klevel")
-    message = F.when(name == "fallback_raw", line).otherwise(F.coalesce(pick("message"), F.lit("")))
     kind = F.lit("NONE")
-    for fmt, k, _, _ in FORMATS:
-        kind = F.when(name == fmt, k).otherwise(kind)
-    kind = F.when(name == "json_line", "WALL").otherwise(kind)
+    for f, k, _, _ in [*FORMATS, ("json_line", "WALL", "", [])]:
+        kind = F.when(fmt == f, k).otherwise(kind)
     used = [k for ks in JSON_KEYS.values() for k in ks]
-    fields = F.when(name == "json_line", F.map_filter(json, lambda k, _: ~k.isin(used))).otherwise(key_values(message))
-    return F.struct(
-        kind.alias("ts_kind"),
-        pick("ts").alias("ts"),
-        pick("mono").try_cast("double").alias("mono"),
-        level.alias("level_raw"),
-        level_norm(level).alias("level_norm"),
-        pick("logger", "app").alias("logger"),
-        pick("process", "host").alias("process"),
-        pick("pid").try_cast("int").alias("pid"),
-        pick("tid").try_cast("int").alias("tid"),
-        pick("src_loc").alias("src_loc"),
-        message.alias("message"),
-        fields.alias("fields"),
-        F.when(name == "fallback_raw", "UNPARSED").otherwise("OK").alias("status"),
+    return (
+        df.withColumn("_tm_groups", groups(F.col(line), fmt))
+        .withColumns({
+            "ts_kind": kind,
+            "ts": pick("ts"),
+            "mono": pick("mono").try_cast("double"),
+            "level_raw": pick("level", "level_cn", "klevel"),
+            "logger": pick("logger", "app"),
+            "process": pick("process", "host"),
+            "pid": pick("pid").try_cast("int"),
+            "tid": pick("tid").try_cast("int"),
+            "src_loc": pick("src_loc"),
+            "message": F.when(fmt == "fallback_raw", F.col(line)).otherwise(F.coalesce(pick("message"), F.lit(""))),
+            "status": F.when(fmt == "fallback_raw", "UNPARSED").otherwise("OK"),
+        })
+        .withColumn("level_norm", level_norm(F.col("level_raw")))
+        .withColumn("fields", F.when(fmt == "json_line", F.map_filter(json, lambda k, _: ~k.isin(used))).otherwise(key_values(F.col("message"))))
+        .drop("_tm_groups")
     )

@@ -37,7 +37,8 @@ def evidence_rows(recs: DataFrame, files: DataFrame, meta: DataFrame) -> DataFra
     rows = recs.join(around, "file_id")
     rows = rows.withColumn("_line", parsers.first_line(F.col("text"))).withColumn("_json", parsers.json_object(F.col("_line")))
     rows = rows.withColumn("parser_name", parsers.parser_name(F.col("_line"), F.col("_json")))
-    rows = rows.withColumn("p", parsers.parsed(F.col("_line"), F.col("parser_name"), F.col("_json"))).drop("_line", "_json")
+    rows = parsers.with_parsed(rows, "_line", "parser_name", "_json").drop("_line", "_json")
+    rows = rows.withColumn("p", F.struct(*parsers.FIELDS)).drop(*parsers.FIELDS)
     rows = materialize(rows)
     rows = (
         rows.withColumn("_zone", F.coalesce("timezone", F.lit(ZONE)))

@@ -9,6 +9,7 @@ above the threshold, whose differing positions become wildcards, or founds its o
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,32 +22,35 @@ WILD = "<*>"
 PARAMETER = r"^(?:[+-]?\d+(?:\.\d+)?|0x[0-9a-fA-F]+|.*\d.*)$"
 
 
-def _join_clusters(patterns: list[list[str]], tokens: list[str]) -> int | None:
-    best, at = 0.0, None
-    for k, pattern in enumerate(patterns):
-        same = sum(a == b or a == WILD for a, b in zip(pattern, tokens)) / max(1, len(tokens))
-        if same >= SIMILAR and same > best:
-            best, at = same, k
-    return at
-
-
 def mine_path(pdf: pd.DataFrame) -> pd.DataFrame:
     """Distinct messages of one path, in order of first appearance, to clusters."""
-    patterns: list[list[str]] = []
-    firsts: list[int] = []
-    member = []
     rows = pdf.sort_values("first")
-    for message, first in zip(rows["message"], rows["first"]):
-        tokens = message.split()
-        k = _join_clusters(patterns, tokens)
-        if k is None:
-            patterns.append(tokens)
-            firsts.append(first)
-            k = len(patterns) - 1
+    codes: dict[str, int] = {WILD: 0}
+    size = int(rows["size"].iloc[0])
+    patterns = np.zeros((16, size), np.int64)
+    founded: list[int] = []
+    member = np.zeros(len(rows), np.int64)
+    for i, (message, first) in enumerate(zip(rows["message"], rows["first"])):
+        words = np.fromiter((codes.setdefault(t, len(codes)) for t in message.split() or [""]), np.int64, size)
+        k = -1
+        if founded:
+            known = patterns[: len(founded)]
+            same = ((known == words) | (known == 0)).sum(axis=1)
+            k = int(same.argmax())
+            if same[k] < SIMILAR * size:
+                k = -1
+        if k < 0:
+            if len(founded) == len(patterns):
+                patterns = np.vstack([patterns, np.zeros_like(patterns)])
+            k = len(founded)
+            patterns[k] = words
+            founded.append(first)
         else:
-            patterns[k] = [a if a == b else WILD for a, b in zip(patterns[k], tokens)]
-        member.append(k)
-    return pd.DataFrame({"message": rows["message"], "template": [" ".join(patterns[k]) for k in member], "founded": [firsts[k] for k in member]})
+            patterns[k][patterns[k] != words] = 0
+        member[i] = k
+    names = list(codes)
+    texts = [" ".join(names[c] for c in p) for p in patterns[: len(founded)]]
+    return pd.DataFrame({"message": rows["message"], "template": [texts[k] for k in member], "founded": [founded[k] for k in member]})
 
 
 def _paths(messages: DataFrame) -> DataFrame:

@@ -344,7 +344,7 @@ def parser_registry(s, d):
 
 @query()
 def parsed_fields(s, d):
-    return _parsed(s, d).select("line_id", "parser", parsers.parsed(F.col("line"), F.col("parser"), F.col("json")).alias("p")).select("line_id", "parser", "p.*")
+    return parsers.with_parsed(_parsed(s, d), "line", "parser", "json").select("line_id", "parser", *parsers.FIELDS)
 
 
 @query("""SELECT level_raw, CASE WHEN upper(level_raw) IN ('V', 'VERBOSE', 'T', 'TRACE') THEN 'TRACE' WHEN upper(level_raw) IN ('D', 'DEBUG') OR level_raw = '调试' THEN 'DEBUG'
