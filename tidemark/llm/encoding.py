@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import spread
+
 #: codecs that texts were written with, and those they were read with by mistake
 WRITTEN = ["utf-8", "gb18030", "cp1251", "koi8-r", "cp1252", "mac_roman"]
 READ = ["latin-1", "cp1252", "cp1251", "koi8-r", "mac_roman", "gb18030"]
@@ -27,7 +29,7 @@ STEPS = 3
 #: bytes that a step of a chain costs: for one that ends in UTF-8, which a text rarely passes by chance, and for others
 STEP_COST = {"utf-8": 1.0, "other": 12.0}
 #: texts in the sample of each language, size of a dictionary in bytes, compression level
-SAMPLE, DICT_BYTES, LEVEL = 2000, 32_768, 9
+SAMPLE, DICT_BYTES, LEVEL = 800, 32_768, 9
 #: by the characters that tell the languages of the table apart; the first that is found holds
 LANGUAGES = [
     ("han", r"[\u4e00-\u9fff]"),
@@ -214,4 +216,4 @@ def repair(df: DataFrame, row_id: str, text: str, raw: str, dictionaries: dict[s
                     pa.array([d[2].encode("utf-8", "replace").decode() for d in done], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=schema.names)
 
-    return df.select(row_id, text, raw).where(F.length(text) > 0).mapInArrow(run, schema)
+    return spread(df.select(row_id, text, raw).where(F.length(text) > 0)).mapInArrow(run, schema)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.session import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"
 #: fixed value: the pre-tokeniser pattern of the byte_bpe vocabularies
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -115,4 +117,4 @@ def encode_corpus(
                 yield pa.RecordBatch.from_arrays([part.column(0), out], names=[row_id, "n_tokens" if counts_only else "ids"])
 
     out_field = T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType()))
-    return df.select(row_id, text).mapInArrow(run, T.StructType([id_field, out_field]))
+    return spread(df.select(row_id, text)).mapInArrow(run, T.StructType([id_field, out_field]))
