@@ -113,8 +113,14 @@ class Describer:
         self.scripts = [(n, re.compile(p)) for n, p in LANGUAGES]
 
     def __call__(self, text: str) -> float:
+        return self.size(text) + self.oddity(text)
+
+    def size(self, text: str) -> int:
         data = text.encode("utf-8", "surrogatepass")
-        return min(len(c.compress(data)) for c in self.by.values()) + ODD_COST * (len(ODD.findall(text)) + len(SURE.findall(text)))
+        return min(len(c.compress(data)) for c in self.by.values())
+
+    def oddity(self, text: str) -> float:
+        return ODD_COST * (len(ODD.findall(text)) + len(SURE.findall(text)))
 
     def best(self, text: str, extra: dict[str, tuple[str, float]] | None = None) -> tuple[str, str]:
         """The reading with the shortest description, and its chain ('' if it is the text itself)."""
@@ -122,8 +128,11 @@ class Describer:
         options[text] = ("", 0.0)
         if len(options) == 1:
             return text, ""
-        sized = {t: self(t) + cost for t, (_, cost) in options.items()}
-        out = min(sized, key=lambda t: (sized[t], len(options[t][0]), t))
+        out, least = text, self(text)
+        for t, (_, cost) in sorted(options.items(), key=lambda x: (x[1][1], len(x[1][0]), x[0])):
+            fixed = cost + self.oddity(t) if t != text else least
+            if fixed < least and (total := fixed + self.size(t)) < least:  # a size is never negative
+                out, least = t, total
         return out, options[out][0]
 
 
