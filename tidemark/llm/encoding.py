@@ -51,14 +51,20 @@ ODD = regex.compile(
 )
 ODD_COST = 12.0
 PIECES = re.compile(r"( <- | -> | / | \| )")
-CP1252_HOLES = {i: chr(i) for i in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+HOLE = re.compile("[\x81\x8d\x8f\x90\x9d]")
+#: characters beyond ASCII with their neighbours: all that ODD and SURE look at, but for zeros
+AROUND = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+(?:[\x00-\x7f][^\x00-\x7f]+)*[\x00-\x7f]?")
+HAN, CYRILLIC = re.compile("[\u3000-\u9fff]"), re.compile("[\u0400-\u04ff]")
 
 
 def encode(text: str, codec: str) -> bytes | None:
     try:
-        if codec == "cp1252":  # what a lenient reader does with the five bytes the code page leaves out
-            return b"".join(bytes([ord(c)]) if ord(c) in CP1252_HOLES else c.encode("cp1252") for c in text)
         return text.encode(codec)
+    except UnicodeError:
+        if codec != "cp1252" or not HOLE.search(text):
+            return None
+    try:  # what a lenient reader does with the five bytes the code page leaves out
+        return b"".join(c.encode("latin-1" if HOLE.match(c) else "cp1252") for c in text)
     except UnicodeError:
         return None
 
@@ -110,17 +116,20 @@ class Describer:
             self.by[name] = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
         if not self.by:
             self.by[""] = zstandard.ZstdCompressor(**params, write_content_size=False)
-        self.scripts = [(n, re.compile(p)) for n, p in LANGUAGES]
 
     def __call__(self, text: str) -> float:
         return self.size(text) + self.oddity(text)
 
     def size(self, text: str) -> int:
         data = text.encode("utf-8", "surrogatepass")
-        return min(len(c.compress(data)) for c in self.by.values())
+        # dictionaries of the text's own script; of all for a mixture
+        scripts = ("han" if HAN.search(text) else "") + ("cyrillic" if CYRILLIC.search(text) else "")
+        own = [c for n, c in self.by.items() if n in (scripts, "other") or not scripts and n not in ("han", "cyrillic")]
+        return min(len(c.compress(data)) for c in own or self.by.values())
 
     def oddity(self, text: str) -> float:
-        return ODD_COST * (len(ODD.findall(text)) + len(SURE.findall(text)))
+        near = "\n".join(AROUND.findall(text))
+        return ODD_COST * (len(ODD.findall(near)) + len(SURE.findall(text if "\0" in text else near)))
 
     def best(self, text: str, extra: dict[str, tuple[str, float]] | None = None) -> tuple[str, str]:
         """The reading with the shortest description, and its chain ('' if it is the text itself)."""
