@@ -88,6 +88,8 @@ def readings(text: str, steps: int = STEPS) -> dict[str, tuple[str, float]]:
                 data = encode(t, wrong)
                 if data is None or data.isascii():
                     continue
+                if wrong == "gb18030" and len(data) > len(t) + len(NOT_ASCII.findall(t)):
+                    continue  # characters that no mistaken reading by this codec gives: they take four bytes
                 for right in WRITTEN:
                     # further steps only through UTF-8, the only way in which chains grow
                     if right == wrong or (chain and right != "utf-8"):
@@ -145,6 +147,10 @@ class Describer:
         return out, options[out][0]
 
 
+def chain_cost(chain: str) -> float:
+    return sum(STEP_COST["utf-8" if step.endswith("utf-8") else "other"] for step in chain.split() if step != "+")
+
+
 def restore(text: str, raw: bytes | None, describe: Describer) -> tuple[bool, str, str]:
     """Whether the text is affected, the chain by which it was restored ('' if it can't be), the restored text."""
     if not NOT_ASCII.search(text) and "\x00" not in text:
@@ -163,22 +169,21 @@ def restore(text: str, raw: bytes | None, describe: Describer) -> tuple[bool, st
             out = decode(data[: len(data) // 2 * 2], codec)
             if out:
                 extra[out] = (f"latin-1>{codec}", STEP_COST["utf-8"])
-    out, chain = describe.best(text, extra)
-    if not chain:
-        parts = PIECES.split(text)
-        if len(parts) > 1:
-            fixed = [(p, "") if i % 2 or not NOT_ASCII.search(p) else describe.best(p) for i, p in enumerate(parts)]
-            out, chain = "".join(p for p, _ in fixed), " + ".join(dict.fromkeys(c for _, c in fixed if c))
-    if not chain:
-        words = re.split(r"(\s+)", text)
-        fixed = []
-        for w in words:
-            good = {t: c for t, c in readings(w).items() if c[0].endswith(">utf-8")} if NOT_ASCII.search(w) else {}
-            pick = min(good, key=lambda t: (len(t.encode()), t)) if good else w
-            fixed.append((pick, good[pick][0]) if good else (w, ""))
-        changed = "".join(w for w, _ in fixed)
-        if changed != text and describe(changed) + STEP_COST["utf-8"] < describe(text):
-            out, chain = changed, " + ".join(dict.fromkeys(c for _, c in fixed if c))
+    tried = [describe.best(text, extra)]
+    parts = PIECES.split(text)
+    if len(parts) > 1:
+        fixed = [(p, "") if i % 2 or not NOT_ASCII.search(p) else describe.best(p) for i, p in enumerate(parts)]
+        tried.append(("".join(p for p, _ in fixed), " + ".join(dict.fromkeys(c for _, c in fixed if c))))
+    fixed = []
+    for w in re.split(r"(\s+)", text):
+        good = {t: c for t, c in readings(w).items() if c[0].endswith(">utf-8")} if NOT_ASCII.search(w) else {}
+        pick = min(good, key=lambda t: (len(t.encode()), t)) if good else w
+        fixed.append((pick, good[pick][0] if good else ""))
+    tried.append(("".join(w for w, _ in fixed), " + ".join(dict.fromkeys(c for _, c in fixed if c))))
+    tried = [t for t in tried if t[1]]
+    out, chain = min(tried, key=lambda t: describe(t[0]) + chain_cost(t[1])) if tried else (text, "")
+    if chain and len(tried) == 1 and tried[0] == ("".join(w for w, _ in fixed), chain) and describe(out) + chain_cost(chain) >= describe(text):
+        out, chain = text, ""
     return bool(chain) or bool(SURE.search(text)), chain, out
 
 
