@@ -19,6 +19,9 @@ from tidemark.session import materialize
 # fixed values: similarity, tokens in a path, children of a node, clusters
 SIMILAR, DEPTH, CHILDREN, CLUSTERS = 0.4, 3, 100, 5000
 WILD = "<*>"
+PATH = ["size", "t0", "t1", "t2"]
+#: distinct messages in a bucket of paths, about
+BUCKET_MESSAGES = 50_000
 PARAMETER = r"^(?:[+-]?\d+(?:\.\d+)?|0x[0-9a-fA-F]+|.*\d.*)$"
 
 
@@ -53,6 +56,11 @@ def mine_path(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"message": rows["message"], "template": [texts[k] for k in member], "founded": [founded[k] for k in member]})
 
 
+def mine_paths(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The paths of one bucket, one after the other."""
+    return pd.concat([mine_path(g) for _, g in pdf.groupby(PATH, sort=False)], ignore_index=True)
+
+
 def _paths(messages: DataFrame) -> DataFrame:
     """Adds t0..t2, the effective tokens of a path: parameters and tokens beyond a node's first hundred are wildcards."""
     words = F.split(F.trim(F.regexp_replace("message", r"\s+", " ")), " ")
@@ -82,11 +90,10 @@ def mine(rows: DataFrame, message: str, order: list[str], clusters: int = CLUSTE
 
     distinct = rows.where(F.col(message).isNotNull()).groupBy(F.col(message).alias("message")).agg(F.min(F.struct(*order)).alias("place"))
     placed = materialize(dense_ids(distinct, [F.asc("place"), F.asc("message")], "first").select("message", "first"))
-    mined = materialize(
-        _paths(placed).select("message", "first", "size", "t0", "t1", "t2").groupBy("size", "t0", "t1", "t2").applyInPandas(
-            mine_path, "message string, template string, founded bigint"
-        )
-    )
+    # paths are dealt to buckets of bounded size, since a call for each of many small paths costs more than their work
+    buckets = max(64, placed.count() // BUCKET_MESSAGES)
+    dealt = _paths(placed).select("message", "first", *PATH).withColumn("bucket", F.pmod(F.xxhash64(*PATH), F.lit(buckets)))
+    mined = materialize(dealt.groupBy("bucket").applyInPandas(mine_paths, "message string, template string, founded bigint"))
     founders = dense_ids(mined.select("founded").distinct(), [F.asc("founded")], "n")
     ids = mined.join(founders, "founded").select(
         "message", "template", F.when(F.col("n") < clusters, F.col("n") + 1).otherwise(0).cast("int").alias("template_id")
