@@ -89,3 +89,15 @@ def test_spam_pages(spark):
     assert found == set(range(len(bad)))
     assert spam.spam_pages(df.limit(0), "doc_id", "text").count() == 0
     assert {r.doc_id for r in spam.spam_pages(df.union(df), "doc_id", "text").collect()} == found
+
+
+def test_stuffed_sentences_are_found_and_repeated_sentences_are_not(spark):
+    rnd = random.Random(4)
+    words = ["ecu unlock", "ota flash tool", "固件下载", "map update"]
+    pick = lambda: (rnd.choice(words), rnd.choice(words))
+    stuffed = ["".join(f"{rnd.choice(['Best', 'Buy'])} {a} {rnd.choice(['for', 'with'])} {b} {a}{rnd.choice('!.')} " for a, b in (pick() for _ in range(60))) for _ in range(3)]
+    fine = ["Die Werkstatt suchte im Netz nach Firmware und fand nichts Brauchbares. " * 20, PROSE * 20]
+    corpus = [" ".join(f"{w} {rnd.randint(1, 10**6):x}" for w in PROSE.split()) + "." for _ in range(60)]
+    df = spark.createDataFrame([(i, t, "EN-us") for i, t in enumerate([*stuffed, *fine, *corpus])], "doc_id bigint, text string, lang string")
+    for columns in (["text"], ["text", "lang"]):
+        assert {r.doc_id for r in spam.spam_pages(df, "doc_id", *columns).collect()} == {0, 1, 2}

@@ -83,7 +83,7 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_pages(spark: SparkSession, d: str) -> DataFrame:
-    return spam.spam_pages(table(spark, d, "documents"), "doc_id", "text")
+    return spam.spam_pages(table(spark, d, "documents"), "doc_id", "text", "lang")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

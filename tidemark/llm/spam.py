@@ -1,13 +1,15 @@
 """Keyword-stuffed pages, link lists and tag or product lists.
 
-Each text is compressed block by block; the ratio is divided by what texts of its length and script usually reach in
-this corpus. Redundant texts are flagged, and confirmed where sentence punctuation is rare and most of the text is
-lists: links, tags, product rows or keywords, not sentences and not log lines.
+Each text is compressed block by block; the ratio is divided by what texts of its language, script and length usually
+reach in this corpus. Extremely redundant texts are flagged, and confirmed where most of the text is lists or clauses
+that name the same word again and again, however often they end like sentences. Lists of ever new links, tags or
+products are hardly more redundant than prose: where sentence ends are rare, lists alone tell them, whatever the ratio.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,13 +23,15 @@ from pyspark.sql import types as T
 from tidemark.session import materialize, spread
 
 BLOCK = 4096
-#: a text is redundant if its ratio is at most this multiple of the usual one of its length and script
-REDUNDANT = 1.2
+#: a text is extremely redundant if its ratio is at most this multiple of the usual one
+REDUNDANT = 0.7
+#: texts that a language, script and length need for a usual ratio of their own; else that of script and length holds
+ENOUGH = 20
 #: the least usual ratio: below it a text is redundant whatever its neighbours are
 LEAST_USUAL = 0.45
-#: confirmed if there are fewer sentence ends than this in so many characters
+#: sentence ends are rare if there are fewer than this in so many characters
 SENTENCE_ENDS, SENTENCE_CHARS = 0.7, 100
-#: and if lists make up more than this share of the characters that are no white space
+#: confirmed if lists, or clauses that repeat a word, make up more than this share of the characters that are no white space
 LIST_SHARE = 0.5
 FRAME = len(zstandard.ZstdCompressor(level=3).compress(b""))
 
@@ -42,6 +46,11 @@ PAIR = regex.compile(r"\w=\S")
 WORD = regex.compile(r"[\p{L}\p{N}_'’-]+")
 SEPARATOR = regex.compile(r"[,|;/、，；·•#\t]|\s[-–>»]\s")
 CJK = regex.compile(r"[\p{Han}]")
+# re, as it is much faster than regex on these two
+CLAUSE = re.compile(r"[.!?…。！？，,;；]+")
+#: words whose repetition counts: no articles and the like
+NAME = re.compile(r"[\w'’-]{4,}|[\u3400-\u4dbf\u4e00-\u9fff]{2,}")
+BLANKS = " \t\ufeff\u3000\xa0"
 
 
 def ratio(data: bytes, compressor: zstandard.ZstdCompressor) -> float:
@@ -108,6 +117,25 @@ def list_share(text: str) -> float:
     return listed / total if total else 0.0
 
 
+def stuffed_share(text: str) -> float:
+    """Share of clauses that name a word more than once in the characters of a text that are no white space."""
+    stuffed = 0
+    for line in text.splitlines():
+        line = line.strip(BLANKS)
+        low = line.lower()
+        links = ("://" in low or "www." in low) and URL.search(low)
+        if links:
+            low = URL.sub(" ", low)
+        names = NAME.findall(low)
+        if len(set(names)) == len(names) or not links and (LOG.match(line) or len(PAIR.findall(line)) >= 2):
+            continue
+        for clause in CLAUSE.split(low):
+            names = NAME.findall(clause)
+            if len(set(names)) < len(names):
+                stuffed += len("".join(clause.split()))
+    return stuffed / max(1, len("".join(text.split())))
+
+
 def sentence_ends(text: str) -> float:
     """Sentence ends outside links per SENTENCE_CHARS characters; a Han character counts as three."""
     bare = URL.sub("", text)
@@ -115,40 +143,48 @@ def sentence_ends(text: str) -> float:
     return len(END.findall(bare)) * SENTENCE_CHARS / max(1, n)
 
 
-def measure(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """row_id, script (0 other, 1 Han), size (log2 of the bytes, in halves), ratio, ends and share of lists.
+def measure(df: DataFrame, row_id: str, text: str, lang: str | None = None) -> DataFrame:
+    """row_id, language (two letters or ''), script (0 other, 1 Han), size (log2 of the bytes, in halves), ratio, ends, share of lists and of
+    stuffed clauses.
 
-    Null, empty and blank texts are left out. share is null where sentence ends are frequent.
+    Null, empty and blank texts are left out. listed is null where sentence ends are frequent.
     """
     field = df.schema[row_id]
-    schema = T.StructType([field, *[T.StructField(n, t) for n, t in (("script", T.IntegerType()), ("size", T.IntegerType()), ("ratio", T.DoubleType()), ("ends", T.DoubleType()), ("share", T.DoubleType()))]])
+    doubles = [T.StructField(n, T.DoubleType()) for n in ("ratio", "ends", "listed", "stuffed")]
+    schema = T.StructType([field, T.StructField("language", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("script", "size")], *doubles])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             rows = []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, value, language in zip(*[c.to_pylist() for c in batch.columns]):
                 if not value or value.isspace():
                     continue
                 data = value.encode("utf-8", "replace")
                 ends = sentence_ends(value)
                 han = int(len(data) > 1.5 * len(value))
-                rows.append((key, han, int(2 * math.log2(len(data))), ratio(data, compressor), ends, list_share(value) if ends < SENTENCE_ENDS else None))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+                listed = list_share(value) if ends < SENTENCE_ENDS else None
+                rows.append((key, language, han, int(2 * math.log2(len(data))), ratio(data, compressor), ends, listed, stuffed_share(value)))
+            cols = list(zip(*rows)) if rows else [()] * len(schema)
+            types = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=schema.names)
 
-    return spread(df.select(row_id, text).where(F.col(text).isNotNull())).mapInArrow(run, schema)
+    language = F.lit("") if lang is None else F.coalesce(F.regexp_extract(F.lower(lang), "^[a-z]{2}", 0), F.lit(""))
+    return spread(df.select(row_id, text, language.alias("language")).where(F.col(text).isNotNull())).mapInArrow(run, schema)
 
 
-def spam_pages(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """row_id, redundancy (ratio by the usual one), ends, share of each page found."""
-    rows = materialize(measure(df, row_id, text))
-    # at most 2 scripts x 64 sizes
-    usual = rows.groupBy("script", "size").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"))
+def spam_pages(df: DataFrame, row_id: str, text: str, lang: str | None = None) -> DataFrame:
+    """row_id, redundancy (ratio by the usual one), ends, share (of lists or of stuffed clauses, the larger) of each page found."""
+    rows = materialize(measure(df, row_id, text, lang))
+    median = F.percentile_approx("ratio", 0.5, 1000)
+    # at most 2 scripts x 64 sizes, and as many for each language
+    usual = rows.groupBy("script", "size").agg(median.alias("usual"))
+    own = rows.groupBy("language", "script", "size").agg(median.alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= ENOUGH).drop("n")
+    lists = F.coalesce(F.col("listed") > LIST_SHARE, F.lit(False))
     return (
         rows.join(F.broadcast(usual), ["script", "size"])
-        .withColumn("redundancy", F.col("ratio") / F.greatest("usual", F.lit(LEAST_USUAL)))
-        .where((F.col("redundancy") <= REDUNDANT) & (F.col("share") > LIST_SHARE))
-        .select(row_id, "redundancy", "ends", "share")
+        .join(F.broadcast(own), ["language", "script", "size"], "left")
+        .withColumn("redundancy", F.col("ratio") / F.greatest(F.coalesce("own", "usual"), F.lit(LEAST_USUAL)))
+        .where(lists | (F.col("redundancy") <= REDUNDANT) & (F.col("stuffed") > LIST_SHARE))
+        .select(row_id, "redundancy", "ends", F.greatest("listed", "stuffed").alias("share"))
     )
