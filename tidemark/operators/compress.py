@@ -13,6 +13,8 @@ KEEP_WORDS = [
     "fatal", "nrc", "reject", "corrupt", "insufficient", "unavailable", "错误", "失败", "异常", "中止", "超时", "拒绝",
 ]
 CAP, RARE, QUOTA = 50, 5, 3
+#: parts in which a template's rows are ranked first, as lines without a template are one hot group
+SHARDS = 64
 
 
 def kept(level: Column, text: Column) -> Column:
@@ -26,22 +28,24 @@ def tiers(rows: DataFrame, cap: int = CAP, rare: int = RARE, quota: int = QUOTA)
     """Adds tier (3 kept by level or word, 2 rare template, 1 other) and keep, of rows with template_id, occurrences, level_norm,
     raw_line, ts_utc and line_id.
 
-    Of a template, tier 3 keeps the first cap - 1 rows and the last, tier 2 all, tier 1 the first `quota`.
+    Of a template, tier 3 keeps the first cap - 1 rows and the last, tier 2 all, tier 1 the first `quota`. Rows without template_id
+    are a group of their own. A group is ranked within shards first; only the head and the last row of each shard can be the
+    group's, so the second ranking sees at most SHARDS times as many rows as are kept, whatever the size of the group.
     """
     tier = F.when(kept(F.col("level_norm"), F.col("raw_line")), 3).when(F.col("occurrences").between(1, rare), 2).otherwise(1)
-    by = Window.partitionBy("template_id", "tier")
-    first = F.row_number().over(by.orderBy(F.asc_nulls_last("ts_utc"), "line_id"))
-    last = F.lead(F.lit(1)).over(by.orderBy(F.asc_nulls_last("ts_utc"), "line_id")).isNull()
-    return (
-        rows.withColumn("tier", tier)
-        .withColumn("_first", first)
-        .withColumn("_last", last)
-        .withColumn(
-            "keep",
-            F.when(F.col("tier") == 3, (F.col("_first") < cap) | F.col("_last")).when(F.col("tier") == 2, True).otherwise(F.col("_first") <= quota),
-        )
-        .drop("_first", "_last")
-    )
+    order = [F.asc_nulls_last("ts_utc"), F.asc("line_id")]
+    part = F.pmod(F.xxhash64("line_id"), F.lit(SHARDS)).cast("int")
+
+    def ranked(df: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy("template_id", "tier", *by).orderBy(*order)
+        return df.withColumn("_first", F.row_number().over(w)).withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+
+    sharded = ranked(rows.withColumn("tier", tier).withColumn("_part", part), "_part")
+    # -1: the rows that the second ranking is about; the others stay in their shards
+    edge = (F.col("_first") <= max(cap - 1, quota)) | F.col("_last")
+    whole = ranked(sharded.withColumn("_part", F.when(edge, -1).otherwise(F.col("_part"))), "_part")
+    keep = F.when(F.col("tier") == 3, (F.col("_first") < cap) | F.col("_last")).otherwise(F.col("_first") <= quota)
+    return whole.withColumn("keep", (F.col("tier") == 2) | (F.col("_part") == -1) & keep).drop("_part", "_first", "_last")
 
 
 def folds(tiered: DataFrame) -> DataFrame:

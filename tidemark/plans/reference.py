@@ -460,7 +460,7 @@ def dangling_keys(s, d):
 # ---- compression
 
 def _tiered(s, d) -> DataFrame:
-    lines = _once(s, d).where(F.col("template_id").isNotNull()).select("line_id", "run_id", "template_id", "level_norm", "level_num", "raw_line", "ts_utc", "component")
+    lines = _once(s, d).select("line_id", "run_id", "template_id", "level_norm", "level_num", "raw_line", "ts_utc", "component")
     return compress.tiers(lines.join(table(s, d, "templates").select("template_id", "occurrences"), "template_id", "left"))
 
 
@@ -473,12 +473,28 @@ SELECT *, CASE tier WHEN 3 THEN first < 50 OR last WHEN 2 THEN TRUE ELSE first <
 
 @query(f"SELECT line_id, tier, keep FROM {_TIERS}")
 def compress_tiers(s, d):
-    return _tiered(s, d).select("line_id", "tier", "keep")
+    return _tiered(s, d).where(F.col("template_id").isNotNull()).select("line_id", "tier", "keep")
 
 
 @query(f"""SELECT tier, template_id, count(*) AS folded, min(epoch_us(ts_utc)) AS first_us, max(epoch_us(ts_utc)) AS last_us,
 coalesce(array_to_string(list_sort(list(DISTINCT component)), ','), '') AS components FROM {_TIERS} WHERE NOT keep GROUP BY 1, 2""")
 def compress_folds(s, d):
+    return compress.folds(_tiered(s, d).where(F.col("template_id").isNotNull()))
+
+
+# the same of every line: those without template_id are a group of their own
+
+_TIERS_ALL = _TIERS.replace(" WHERE template_id IS NOT NULL", "")
+
+
+@query(f"SELECT line_id, tier, keep FROM {_TIERS_ALL}")
+def compress_tiers_all(s, d):
+    return _tiered(s, d).select("line_id", "tier", "keep")
+
+
+@query(f"""SELECT tier, template_id, count(*) AS folded, min(epoch_us(ts_utc)) AS first_us, max(epoch_us(ts_utc)) AS last_us,
+coalesce(array_to_string(list_sort(list(DISTINCT component)), ','), '') AS components FROM {_TIERS_ALL} WHERE NOT keep GROUP BY 1, 2""")
+def compress_folds_all(s, d):
     return compress.folds(_tiered(s, d))
 
 
