@@ -41,13 +41,18 @@ KERNEL_LEVELS = ["FATAL", "FATAL", "FATAL", "ERROR", "WARN", "NOTICE", "INFO", "
 FIELDS = ["ts_kind", "ts", "mono", "level_raw", "level_norm", "logger", "process", "pid", "tid", "src_loc", "message", "fields", "status"]
 
 
+#: only a line feed ends a line: the dot matches a carriage return inside a line
+UNIX_LINES = "(?d)"
+
+
 def first_line(raw: Column) -> Column:
-    return F.substring_index(raw, "\n", 1)
+    """Without the carriage returns at its end, which are no part of a line."""
+    return F.rtrim(F.substring_index(raw, "\n", 1), F.lit("\r"))
 
 
 def json_object(line: Column) -> Column:
     """The line as a map if it is a JSON object, else null."""
-    return F.from_json(F.when(line.rlike(r"^\s*\{.*\}\s*$"), line), "map<string,string>")
+    return F.from_json(F.when(line.rlike(UNIX_LINES + r"^\s*\{.*\}\s*$"), line), "map<string,string>")
 
 
 def parser_name(line: Column, json: Column) -> Column:
@@ -56,7 +61,7 @@ def parser_name(line: Column, json: Column) -> Column:
     for i, (name, _, pattern, _) in enumerate(FORMATS):
         if i == 7:
             out = out.when(json.isNotNull(), "json_line")
-        out = (F if out is None else out).when(line.rlike(pattern), name)
+        out = (F if out is None else out).when(line.rlike(UNIX_LINES + pattern), name)
     return out.otherwise("fallback_raw")
 
 
@@ -77,7 +82,7 @@ def groups(line: Column, name: Column) -> Column:
     out = None
     for fmt, _, pattern, names in FORMATS:
         order = "\x01".join(f"${i}" for i in range(1, len(names) + 1))
-        out = (F if out is None else out).when(name == fmt, F.regexp_replace(line, pattern, order))
+        out = (F if out is None else out).when(name == fmt, F.regexp_replace(line, UNIX_LINES + pattern, order))
     return F.split(out, "\x01")
 
 

@@ -332,13 +332,19 @@ def _parser_sql() -> str:
 
 
 def _parsed(s, d) -> DataFrame:
-    rows = _lines(s, d).where(~F.col("raw_line").rlike("\r")).select("line_id", parsers.first_line(F.col("raw_line")).alias("line"))
+    rows = _lines(s, d).select("line_id", "raw_line", parsers.first_line(F.col("raw_line")).alias("line"))
     rows = rows.withColumn("json", parsers.json_object(F.col("line")))
     return rows.withColumn("parser", parsers.parser_name(F.col("line"), F.col("json")))
 
 
 @query(_parser_sql())
 def parser_registry(s, d):
+    return _parsed(s, d).where(~F.col("raw_line").rlike("\r")).select("line_id", "parser")
+
+
+@query(_parser_sql().replace(" WHERE NOT regexp_matches(raw_line, chr(13))", "").replace("split_part(raw_line, chr(10), 1)", "rtrim(split_part(raw_line, chr(10), 1), chr(13))"))
+def parser_registry_all(s, d):
+    """Of every line, those with carriage returns too."""
     return _parsed(s, d).select("line_id", "parser")
 
 
