@@ -286,8 +286,19 @@ def business_fields(s, d):
 @query(r"""SELECT line_id, array_to_string(list_sort(list_distinct(regexp_extract_all(message, '([A-Za-z_][\w.\-]{0,40})=([^\s,;]+)', 0))), ' ') AS pairs
 FROM log_lines WHERE message IS NOT NULL AND NOT regexp_matches(message, '["'']')""")
 def key_values(s, d):
+    return _key_values(_lines(s, d).where(~F.col("message").rlike("[\"']")))
+
+
+@query(r"""SELECT line_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(message, '([A-Za-z_][\w.\-]{0,40})=("[^"]*"|''[^'']*''|[^\s,;]+)', 0),
+lambda p: split_part(p, '=', 1) || '=' || trim(substr(p, strpos(p, '=') + 1), '"''')))), ' ') AS pairs FROM log_lines WHERE message IS NOT NULL""")
+def key_values_all(s, d):
+    """Of every message, those with quoted values too."""
+    return _key_values(_lines(s, d))
+
+
+def _key_values(rows: DataFrame) -> DataFrame:
     pairs = F.transform(F.map_entries(text.key_values(F.col("message"))), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return _lines(s, d).where(F.col("message").isNotNull() & ~F.col("message").rlike("[\"']")).select("line_id", F.array_join(F.array_sort(pairs), " ").alias("pairs"))
+    return rows.where(F.col("message").isNotNull()).select("line_id", F.array_join(F.array_sort(pairs), " ").alias("pairs"))
 
 
 @query("""SELECT doc_id, CAST(ceil(w / CAST(1.5 AS DOUBLE) + (n - w) / CAST(4 AS DOUBLE)) AS BIGINT) AS tokens FROM (SELECT doc_id, length(coalesce(text, '')) AS n,
