@@ -37,7 +37,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if all(result["checks"].values()) else 1
     from tidemark.operators.tools import LogStore
 
-    tables = {n: spark.read.parquet(f"{a.workspace}/{n}") for n in ("log_lines", "files", "templates") if os.path.exists(f"{a.workspace}/{n}")}
+    tables = {n: spark.read.parquet(f"{a.workspace}/{n}") for n in ("log_lines", "files", "templates", "runs", "parse_errors") if os.path.exists(f"{a.workspace}/{n}")}
     out = LogStore(spark, tables).call(a.tool, **json.loads(a.args))
     print(json.dumps(out.__dict__, ensure_ascii=False, default=str))
     return 0 if out.ok else 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,16 @@ from tidemark.operators import clock, scores, sequence, templates
 from tidemark.session import materialize
 from tidemark.sources import archives
 
+VERSION = "1.0"
+
 META = "task_id string, campaign_id string, vin string, model string, region string, timezone string, collected_at string"
 ZONE = "Asia/Shanghai"
+# fixed value: words of a template that speaks of an error
+ERROR_LIKE = "(?i)fail|error|exception|timeout|abort|panic|denied|nrc|invalid|insufficient|错误|失败|异常|超时|中止"
+RUNS = (
+    "run_id string, started_at_utc timestamp, finished_at_utc timestamp, pipeline_version string, schema_version int, input_archive string, input_sha256 string, "
+    "config_hash string, total_files int, total_bytes bigint, total_lines bigint, total_records bigint, unparsed_records bigint, merkle_root string, tenant_id string"
+)
 
 
 def package_meta(found: DataFrame) -> DataFrame:
@@ -65,7 +74,9 @@ def evidence_rows(recs: DataFrame, files: DataFrame, meta: DataFrame) -> DataFra
     canonical = text.canonical(F.col("text"))
     return timed.select(
         "file_seq", "file_id", F.col("rel_path").alias("file_path"), "line_no", "byte_offset", "byte_len", "line_span", "source_rank", "component",
-        F.timestamp_micros("resolved_us").alias("ts_utc"), F.coalesce("p.ts", F.col("p.mono").cast("string")).alias("ts_raw"), kind.alias("ts_kind"),
+        F.timestamp_micros("resolved_us").alias("ts_utc"),
+        F.from_utc_timestamp(F.timestamp_micros("resolved_us"), F.col("_zone")).cast("timestamp_ntz").alias("ts_local"),
+        F.concat(F.lit("boot-"), "component").alias("boot_id"), F.coalesce("p.ts", F.col("p.mono").cast("string")).alias("ts_raw"), kind.alias("ts_kind"),
         sequence.time_confidence(kind, has_tz, has_year, digits, monotone, F.lit(False)).cast("float").alias("ts_confidence"),
         F.round(F.col("p.mono") * 1_000_000_000).cast("bigint").alias("monotonic_ns"), "clock_epoch", F.col("gap_ms").alias("ts_gap_ms"),
         F.col("p.process").alias("process"), F.col("p.pid").alias("pid"), F.col("p.tid").alias("tid"), F.col("p.logger").alias("logger"), F.col("p.src_loc").alias("src_loc"),
@@ -76,7 +87,7 @@ def evidence_rows(recs: DataFrame, files: DataFrame, meta: DataFrame) -> DataFra
         F.coalesce(business["ota_task_id"], "task_id").alias("ota_task_id"), F.coalesce(business["campaign_id"], F.col("campaign_id")).alias("campaign_id"),
         business["ecu_id"].alias("ecu_id"), text.phase(F.col("text")).alias("own_phase"), text.mask_vin("vin").alias("vin_masked"),
         F.when(F.col("decode_error"), "ENCODING_ERROR").when(F.col("truncated"), "TRUNCATED").otherwise(F.col("p.status")).alias("parse_status"),
-        "parser_name", "encoding",
+        "parser_name", F.lit(VERSION).alias("parser_version"), "encoding",
         F.array_sort(F.concat("flags", F.array_compact(F.array(
             F.when(F.col("decode_error"), "DECODE_ERROR"), F.when(F.col("truncated"), "GIANT_LINE"), F.when(F.col("line_span") > 1, "MULTILINE"),
         )))).alias("anomaly_flags"),
@@ -85,9 +96,9 @@ def evidence_rows(recs: DataFrame, files: DataFrame, meta: DataFrame) -> DataFra
 
 
 def finish(rows: DataFrame, run_id: str, storm_lines: int = sequence.STORM_LINES) -> DataFrame:
-    """Ids, templates, duplicate marks, filled phases and storms over all rows."""
+    """Ids, templates (template holds the mined text), duplicate marks, filled phases and storms over all rows."""
     rows = materialize(rows)
-    mined = templates.mine(rows.withColumn("_text", F.coalesce("message", "raw_line")), "_text", ["file_seq", "line_no"]).drop("_text", "template")
+    mined = templates.mine(rows.withColumn("_text", F.coalesce("message", "raw_line")), "_text", ["file_seq", "line_no"]).drop("_text")
     marked = sequence.duplicates(mined, "norm_hash", ["file_seq", "line_no"])
     order = [F.asc_nulls_last("ts_utc"), F.asc("source_rank"), F.asc("file_id"), F.asc("line_no")]
     numbered = sequence.dense_ids(marked, order, "line_id")
@@ -108,17 +119,46 @@ def write_lines(lines: DataFrame, path: str) -> None:
     )
 
 
-def build(spark: SparkSession, archive_path: str, workspace: str, run_id: str = "R0") -> dict:
-    """Builds log_lines, files and templates below the workspace; gives the counts and checks."""
+def template_rows(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """The templates table; texts are template_id and template of the mined rows."""
+    texts = texts.where(F.col("template_id").isNotNull()).groupBy("template_id").agg(F.min("template").alias("template_text"))
+    return scores.template_stats(lines).join(texts, "template_id").select(
+        "template_id", "template_text", F.abs(templates.template_hash(F.col("template_text"))).cast("decimal(20,0)").alias("template_hash"),
+        F.regexp_count("template_text", F.lit(r"<\*>")).alias("param_count"), "occurrences",
+        F.timestamp_micros("first_us").alias("first_seen_utc"), F.timestamp_micros("last_us").alias("last_seen_utc"),
+        F.split("components", ",").alias("components"), "level_mode",
+        F.col("template_text").rlike(ERROR_LIKE).alias("is_error_like"),
+    )
+
+
+def parse_error_rows(lines: DataFrame) -> DataFrame:
+    """Every line that no format matches."""
+    return lines.where(F.col("parse_status") == "UNPARSED").select(
+        "file_id", "line_no", "byte_offset", F.lit("NO_PARSER_MATCH").alias("reason"), F.substring("raw_line", 1, 512).alias("raw_snippet")
+    )
+
+
+def build(spark: SparkSession, archive_path: str, workspace: str, run_id: str = "R0", tenant: str | None = None) -> dict:
+    """Builds log_lines, files, templates, parse_errors and runs below the workspace; gives the counts and checks."""
+    started = datetime.now(timezone.utc)
     found = materialize(archives.read_members(spark, archive_path))
     files = materialize(archives.parse_order(archives.inventory(found)))
     rows = evidence_rows(archives.read_records(files), files, package_meta(found))
-    lines = finish(rows, run_id)
-    write_lines(lines, f"{workspace}/log_lines")
+    mined = materialize(finish(rows, run_id))
+    write_lines(mined.drop("template"), f"{workspace}/log_lines")
     lines = spark.read.parquet(f"{workspace}/log_lines")
-    scores.template_stats(lines).write.mode("overwrite").parquet(f"{workspace}/templates")
-    scores.file_stats(lines).join(files.drop("content", "component"), "file_id").write.mode("overwrite").parquet(f"{workspace}/files")
+    template_rows(lines, mined.select("template_id", "template")).write.mode("overwrite").parquet(f"{workspace}/templates")
+    stats = scores.file_stats(lines)
+    stats.join(files.drop("content", "component"), "file_id").write.mode("overwrite").parquet(f"{workspace}/files")
+    parse_error_rows(lines).write.mode("overwrite").parquet(f"{workspace}/parse_errors")
     quality = scores.quality(lines).first().asDict()
+    sizes = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes")).first()
+    total_lines = stats.agg(F.sum("lines")).first()[0]
+    run = (
+        run_id, started, datetime.now(timezone.utc), VERSION, 1, archive_path, None, None, sizes["n"], sizes["bytes"], total_lines,
+        quality["rows"], quality["unparsed"], "", tenant,
+    )
+    spark.createDataFrame([run], RUNS).write.mode("overwrite").parquet(f"{workspace}/runs")
     return {"run_id": run_id, **quality, "checks": {r.check: r.passed for r in scores.checks(lines).collect()}}
 
 
