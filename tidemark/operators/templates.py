@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-# fixed values: similarity, tokens in a path, children of a node, clusters
+# fixed values: similarity, tokens in a path, children of a node, clusters (the reference's limit, to be asked for)
 SIMILAR, DEPTH, CHILDREN, CLUSTERS = 0.4, 3, 100, 5000
 WILD = "<*>"
 PATH = ["size", "t0", "t1", "t2"]
@@ -80,8 +80,8 @@ def _paths(messages: DataFrame) -> DataFrame:
     return out
 
 
-def mine(rows: DataFrame, message: str, order: list[str], clusters: int = CLUSTERS) -> DataFrame:
-    """Adds template_id (1, 2 ... by first appearance; 0 beyond `clusters`) and template to rows.
+def mine(rows: DataFrame, message: str, order: list[str], clusters: int | None = None) -> DataFrame:
+    """Adds template_id (1, 2 ... by first appearance; 0 beyond `clusters`, such as CLUSTERS, if given) and template to rows.
 
     Equal messages are one item, placed where they first appear: a repeat joins the cluster of its first, because that
     cluster matches it exactly where it did not already differ. Null messages get null.
@@ -95,9 +95,10 @@ def mine(rows: DataFrame, message: str, order: list[str], clusters: int = CLUSTE
     dealt = _paths(placed).select("message", "first", *PATH).withColumn("bucket", F.pmod(F.xxhash64(*PATH), F.lit(buckets)))
     mined = materialize(dealt.groupBy("bucket").applyInPandas(mine_paths, "message string, template string, founded bigint"))
     founders = dense_ids(mined.select("founded").distinct(), [F.asc("founded")], "n")
-    ids = mined.join(founders, "founded").select(
-        "message", "template", F.when(F.col("n") < clusters, F.col("n") + 1).otherwise(0).cast("int").alias("template_id")
-    )
+    number = F.col("n") + 1
+    if clusters is not None:
+        number = F.when(F.col("n") < clusters, number).otherwise(0)
+    ids = mined.join(founders, "founded").select("message", "template", number.cast("int").alias("template_id"))
     return rows.join(ids.withColumnRenamed("message", "_message"), F.col(message) == F.col("_message"), "left").drop("_message")
 
 
