@@ -1,9 +1,10 @@
 """Keyword-stuffed pages, link lists and tag or product lists.
 
-Each text is compressed block by block; the ratio is divided by what texts of its language, script and length usually
-reach in this corpus. Extremely redundant texts are flagged, and confirmed where most of the text is lists or clauses
-that name the same word again and again, however often they end like sentences. Lists of ever new links, tags or
-products are hardly more redundant than prose: where sentence ends are rare, lists alone tell them, whatever the ratio.
+Each text, in lower case, is compressed block by block; the ratio is divided by what texts of its language, script and
+length usually reach in this corpus. Texts that are more redundant than that are flagged. They are confirmed where
+sentence ends are rare, and an exact check follows that tells lists (links, tags, products, keywords) from logs and
+tables, which have few sentence ends as well. Pages that stuff keywords into short sentences have as many ends as
+prose: they are confirmed by clauses that name the same word again and again, if they are extremely redundant.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
@@ -20,15 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import materialize, spread
-
-BLOCK = 4096
-#: a text is extremely redundant if its ratio is at most this multiple of the usual one
-REDUNDANT = 0.7
-#: texts that a language, script and length need for a usual ratio of their own; else that of script and length holds
-ENOUGH = 20
+#: bytes in a block, and the compression level
+BLOCK, LEVEL = 4096, 9
+#: a text is flagged if its ratio is at most this multiple of the usual one; it is stuffed whatever its punctuation below the second
+REDUNDANT, EXTREME = 0.95, 0.7
+#: texts of a language, kind of script and length that a usual ratio takes
+ENOUGH = 10
 #: the least usual ratio: below it a text is redundant whatever its neighbours are
 LEAST_USUAL = 0.45
+#: a text with at least this share of either kind of script is left out of the usual ratios
+MIXED = 0.2
 #: sentence ends are rare if there are fewer than this in so many characters
 SENTENCE_ENDS, SENTENCE_CHARS = 0.7, 100
 #: confirmed if lists, or clauses that repeat a word, make up more than this share of the characters that are no white space
@@ -143,48 +146,98 @@ def sentence_ends(text: str) -> float:
     return len(END.findall(bare)) * SENTENCE_CHARS / max(1, n)
 
 
-def measure(df: DataFrame, row_id: str, text: str, lang: str | None = None) -> DataFrame:
-    """row_id, language (two letters or ''), script (0 other, 1 Han), size (log2 of the bytes, in halves), ratio, ends, share of lists and of
-    stuffed clauses.
+def folded(text: str) -> tuple[bytes, float, float]:
+    """A text's bytes in lower case, its length in half powers of two, and the share of bytes in scripts of three bytes a character."""
+    low = text.lower()
+    data = low.encode("utf-8", "replace")
+    return data, 2 * math.log2(len(data)), min(1.0, 1.5 * (len(data) - len(low)) / len(data))
+
 
-    Null, empty and blank texts are left out. listed is null where sentence ends are frequent.
+class Usual:
+    """The usual ratio of a text of a language, script and length: median ratios by (language, kind, length), interpolated.
+
+    A language has medians of its own in the kind of script that most of its texts are written in, other texts have those
+    of all languages. Where a text mixes scripts, so does its usual ratio.
     """
-    field = df.schema[row_id]
-    doubles = [T.StructField(n, T.DoubleType()) for n in ("ratio", "ends", "listed", "stuffed")]
-    schema = T.StructType([field, T.StructField("language", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("script", "size")], *doubles])
+
+    def __init__(self, medians: list[tuple[str | None, int, int, float, int]]):
+        curves: dict[tuple[str | None, int], list[tuple[int, float]]] = {}
+        texts: Counter[tuple[str | None, int]] = Counter()
+        for language, kind, size, median, n in medians:
+            texts[language, kind] += n
+            if n >= ENOUGH:
+                curves.setdefault((language, kind), []).append((size, median))
+        self.curves = {
+            key: tuple(zip(*sorted(points)))
+            for key, points in curves.items()
+            if key[0] is None or texts[key] > sum(n for (language, _), n in texts.items() if language == key[0]) / 2
+        }
+
+    def of_kind(self, language: str, kind: int, size: float) -> float:
+        curve = self.curves.get((language, kind)) or self.curves.get((None, kind))
+        return max(LEAST_USUAL, float(np.interp(size, *curve))) if curve else LEAST_USUAL
+
+    def __call__(self, language: str, size: float, wide: float) -> float:
+        return (1 - wide) * self.of_kind(language, 0, size) + wide * self.of_kind(language, 1, size)
+
+
+def _rows(df: DataFrame, row_id: str, text: str, lang: str | None) -> DataFrame:
+    language = F.lit("") if lang is None else F.coalesce(F.regexp_extract(F.lower(lang), "^[a-z]{2}", 0), F.lit(""))
+    return df.select(row_id, F.col(text).alias("_text"), language.alias("_language")).where(F.col("_text").isNotNull())
+
+
+def usual_ratios(df: DataFrame, text: str, lang: str | None = None) -> Usual:
+    """Medians over the whole corpus. To the driver come at most 128 rows a language (of two letters or none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=3)
+        compressor = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            rows = []
+            for value, language in zip(*[c.to_pylist() for c in batch.columns]):
+                if value and not value.isspace():
+                    data, size, wide = folded(value)
+                    if wide < MIXED or wide > 1 - MIXED:
+                        rows.append((language, round(wide), round(size), ratio(data, compressor)))
+            cols = list(zip(*rows)) if rows else [()] * 4
+            types = [pa.string(), pa.int32(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["language", "kind", "size", "ratio"])
+
+    rows = _rows(df, text, text, lang).select("_text", "_language").mapInArrow(run, "language string, kind int, size int, ratio double")
+    of_all, own = ["kind", "size"], ["language", "kind", "size"]
+    medians = rows.groupingSets([of_all, own], *own).agg(
+        F.grouping("language").alias("every"), F.percentile_approx("ratio", 0.5, 1000).alias("median"), F.count(F.lit(1)).alias("n")
+    )
+    return Usual([(None if r.every else r.language, r.kind, r["size"], r.median, r.n) for r in medians.collect()])
+
+
+def spam_pages(df: DataFrame, row_id: str, text: str, lang: str | None = None) -> DataFrame:
+    """row_id, redundancy (ratio by the usual one), ends, share (of lists or of stuffed clauses) of each page found.
+
+    Null, empty and blank texts are no pages; a page given twice comes out twice. Two passes over the texts, none of
+    which shuffles them: one for the usual ratios, one that flags by them and confirms.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(usual_ratios(df, text, lang))
+    schema = T.StructType([df.schema[row_id], *[T.StructField(n, T.DoubleType()) for n in ("redundancy", "ends", "share")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor, usual = zstandard.ZstdCompressor(level=LEVEL), shared.value
         for batch in batches:
             rows = []
             for key, value, language in zip(*[c.to_pylist() for c in batch.columns]):
                 if not value or value.isspace():
                     continue
-                data = value.encode("utf-8", "replace")
+                data, size, wide = folded(value)
+                redundancy = ratio(data, compressor) / usual(language, size, wide)
+                if redundancy > REDUNDANT:
+                    continue
                 ends = sentence_ends(value)
-                han = int(len(data) > 1.5 * len(value))
-                listed = list_share(value) if ends < SENTENCE_ENDS else None
-                rows.append((key, language, han, int(2 * math.log2(len(data))), ratio(data, compressor), ends, listed, stuffed_share(value)))
+                share = list_share(value) if ends < SENTENCE_ENDS else 0.0
+                if share <= LIST_SHARE and redundancy <= EXTREME:
+                    share = stuffed_share(value)
+                if share > LIST_SHARE:
+                    rows.append((key, redundancy, ends, share))
             cols = list(zip(*rows)) if rows else [()] * len(schema)
-            types = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
+            types = [batch.schema.field(0).type, *[pa.float64()] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=schema.names)
 
-    language = F.lit("") if lang is None else F.coalesce(F.regexp_extract(F.lower(lang), "^[a-z]{2}", 0), F.lit(""))
-    return spread(df.select(row_id, text, language.alias("language")).where(F.col(text).isNotNull())).mapInArrow(run, schema)
-
-
-def spam_pages(df: DataFrame, row_id: str, text: str, lang: str | None = None) -> DataFrame:
-    """row_id, redundancy (ratio by the usual one), ends, share (of lists or of stuffed clauses, the larger) of each page found."""
-    rows = materialize(measure(df, row_id, text, lang))
-    median = F.percentile_approx("ratio", 0.5, 1000)
-    # at most 2 scripts x 64 sizes, and as many for each language
-    usual = rows.groupBy("script", "size").agg(median.alias("usual"))
-    own = rows.groupBy("language", "script", "size").agg(median.alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= ENOUGH).drop("n")
-    lists = F.coalesce(F.col("listed") > LIST_SHARE, F.lit(False))
-    return (
-        rows.join(F.broadcast(usual), ["script", "size"])
-        .join(F.broadcast(own), ["language", "script", "size"], "left")
-        .withColumn("redundancy", F.col("ratio") / F.greatest(F.coalesce("own", "usual"), F.lit(LEAST_USUAL)))
-        .where(lists | (F.col("redundancy") <= REDUNDANT) & (F.col("stuffed") > LIST_SHARE))
-        .select(row_id, "redundancy", "ends", F.greatest("listed", "stuffed").alias("share"))
-    )
+    return _rows(df, row_id, text, lang).mapInArrow(run, schema)
