@@ -14,13 +14,17 @@ from tidemark.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _unparsed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "log_lines").where(F.col("parse_status") == "UNPARSED")
+
+
 def p1_entries(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "log_lines").where(F.col("parse_status") == "UNPARSED")
-    return loglines.entries(lines, "file_id", "line_no", "raw_line")
+    return loglines.entries(_unparsed(spark, d), "file_id", "line_no", "raw_line")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_entries(spark, d).select("file_id", "line_no", "line_span", "level_norm", "logger")
+    found = loglines.entries(_unparsed(spark, d), "file_id", "line_no", "raw_line", message=False)
+    return found.select("file_id", "line_no", "line_span", "level_norm", "logger")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
