@@ -1,11 +1,14 @@
 """Text decoded with a wrong encoding: found and, where possible, restored by minimum description length.
 
 A candidate reading undoes a chain of wrong decodings: the text is encoded with the wrong codec and decoded with the
-right one, strictly both times, once or more. Kept raw bytes give further readings. Every reading is compressed with a
-zstandard dictionary of each language; a chain costs some bytes a step. The text is left as it is unless another
-reading has the shorter description. Readings are tried for the whole text, for the pieces between separators and
-for single words, as only a part may be affected. Marks that no encoding writes (replacement characters, C1 controls,
-private use characters, interleaved zeros) show a wrong decoding even where nothing is left to restore it from.
+right one, strictly both times, once or more; between two steps a text is stored in UTF-8. Kept raw bytes give further
+readings. Every reading is compressed with the zstandard dictionary of every language, and a chain costs some bytes a step.
+The shortest description is chosen; unless that is shorter than the text's own, the text is left as it is. Readings are
+tried for the whole text, for the pieces between separators and for single words, as only a part may be affected. The
+ASCII words before and after the first and last other character are the same in every reading and aren't compressed.
+
+Bytes that no text holds (replacement characters, C1 controls, private use characters, interleaved zeros) show a wrong
+decoding even where nothing is left to restore it from.
 """
 
 from __future__ import annotations
@@ -14,22 +17,22 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import spread
-
 #: codecs that texts were written with, and those they were read with by mistake
 WRITTEN = ["utf-8", "gb18030", "cp1251", "koi8-r", "cp1252", "mac_roman"]
 READ = ["latin-1", "cp1252", "cp1251", "koi8-r", "mac_roman", "gb18030"]
 STEPS = 3
-#: bytes that a step of a chain costs: for one that ends in UTF-8, which a text rarely passes by chance, and for others
-STEP_COST = {"utf-8": 1.0, "other": 12.0}
+#: bytes that a step of a chain costs by the codec that it ends in: a text rarely passes UTF-8 by chance and often the others, of
+#: which cp1252 is the most common
+STEP_COST = dict.fromkeys(WRITTEN, 12.0) | {"utf-8": 0.5, "cp1252": 10.5}
 #: texts in the sample of each language, size of a dictionary in bytes, compression level
-SAMPLE, DICT_BYTES, LEVEL = 800, 32_768, 9
+SAMPLE, DICT_BYTES, LEVEL = 2000, 32_768, 9
+#: readings and sizes that a task remembers
+REMEMBERED = 50_000
 #: by the characters that tell the languages of the table apart; the first that is found holds
 LANGUAGES = [
     ("han", r"[\u4e00-\u9fff]"),
@@ -41,20 +44,9 @@ LANGUAGES = [
 ]
 SURE = re.compile("[\ufffd\x80-\x9f\ue000-\uf8ff\U000f0000-\U0010ffff]|\x00[^\x00]\x00|(?:[^\x00]\x00){3}")
 NOT_ASCII = re.compile(r"[^\x00-\x7f]")
-#: junctions that writing rarely has and wrong decodings often: a word of two alphabets, a capital or symbol inside a
-#: word, one Han character between small Latin letters, frames, symbols of old code pages beside a letter
-ODD = regex.compile(
-    r"(?V1)[\p{Latin}][\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][\p{Latin}]|(?<=[a-z])[[\p{Lu}&&\p{Latin}]--[A-Z]]"
-    r"|(?<=\p{L})[\p{S}\p{No}¡¿§¶·«»‹›„‚“”†‡•…‰ªº¨¸¯¬\u00ad\u00a0ˆ˜–—--$+<=>|~^`](?=\p{L})"
-    r"|(?<=[a-z])\p{Han}(?=[a-z])|[\u2500-\u259f]|[ÃÂ][\u0080-\u00bf€-™]|[ÐÑ][\u0080-\u00bf]|[РС][\u0080-\u00bf°±ІіґєѕЉЊЋЏђѓљњќћџ’‘“”•–—™›‹]"
-    r"|[√∞∂◊Ωπ∏∑∫≈≠≤≥ﬁﬂ¡¿¤¦¨¯¸]|(?<=[\p{Cyrillic}])[\u00a0-\u00bf](?=\p{Cyrillic})"
-)
-ODD_COST = 12.0
+BLANK = re.compile(r"\s")
 PIECES = re.compile(r"( <- | -> | / | \| )")
 HOLE = re.compile("[\x81\x8d\x8f\x90\x9d]")
-#: characters beyond ASCII with their neighbours: all that ODD and SURE look at, but for zeros
-AROUND = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+(?:[\x00-\x7f][^\x00-\x7f]+)*[\x00-\x7f]?")
-HAN, CYRILLIC = re.compile("[\u3000-\u9fff]"), re.compile("[\u0400-\u04ff]")
 
 
 def encode(text: str, codec: str) -> bytes | None:
@@ -76,30 +68,29 @@ def decode(data: bytes, codec: str) -> str | None:
         return None
 
 
-def readings(text: str, steps: int = STEPS) -> dict[str, tuple[str, float]]:
-    """Texts that decode by chains of at most `steps` steps from this one: chain and its cost. The text itself is free."""
-    found = {text: ("", 0.0)}
+def chain_cost(chain: str) -> float:
+    return sum(STEP_COST[step.partition(">")[2]] for step in chain.split() if step != "+")
+
+
+def readings(text: str, steps: int = STEPS) -> dict[str, str]:
+    """Texts that decode by chains of at most `steps` steps from this one, with their chains, cheapest first; the text itself is one."""
+    found = {text: ""}
     edge = [text]
     for _ in range(steps):
         new = []
         for t in edge:
-            chain, cost = found[t]
+            tried = set()
             for wrong in READ:
                 data = encode(t, wrong)
-                if data is None or data.isascii():
+                if data is None or data in tried or data.isascii():
                     continue
-                if wrong == "gb18030" and len(data) > len(t) + len(NOT_ASCII.findall(t)):
-                    continue  # characters that no mistaken reading by this codec gives: they take four bytes
+                tried.add(data)
                 for right in WRITTEN:
-                    # further steps only through UTF-8, the only way in which chains grow
-                    if right == wrong or (chain and right != "utf-8"):
-                        continue
-                    out = decode(data, right)
-                    if out is None or out in found or (right != "utf-8" and SURE.search(out)):
-                        continue
-                    found[out] = (f"{chain} {wrong}>{right}".strip(), cost + STEP_COST["utf-8" if right == "utf-8" else "other"])
-                    if right == "utf-8":
-                        new.append(out)
+                    out = decode(data, right) if right != wrong else None
+                    if out is not None and out not in found:
+                        found[out] = f"{found[t]} {wrong}>{right}".strip()
+                        if right == "utf-8":
+                            new.append(out)
         edge = new
         if not edge:
             break
@@ -107,84 +98,96 @@ def readings(text: str, steps: int = STEPS) -> dict[str, tuple[str, float]]:
 
 
 class Describer:
-    """Description length by the best of the languages' dictionaries."""
+    """Description length by the best of all languages' dictionaries."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        params = {"level": LEVEL}
-        self.by: dict[str, zstandard.ZstdCompressor] = {}
-        for name, data in dictionaries.items():
+        self.compressors = []
+        for data in dictionaries.values():
             d = zstandard.ZstdCompressionDict(data)
             d.precompute_compress(level=LEVEL)
-            self.by[name] = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
-        if not self.by:
-            self.by[""] = zstandard.ZstdCompressor(**params, write_content_size=False)
-
-    def __call__(self, text: str) -> float:
-        return self.size(text) + self.oddity(text)
+            self.compressors.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        if not self.compressors:
+            self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False))
+        self.sizes: dict[str, int] = {}
+        self.bests: dict[str, tuple[str, str]] = {}
 
     def size(self, text: str) -> int:
+        if (known := self.sizes.get(text)) is not None:
+            return known
         data = text.encode("utf-8", "surrogatepass")
-        # dictionaries of the text's own script; of all for a mixture
-        scripts = ("han" if HAN.search(text) else "") + ("cyrillic" if CYRILLIC.search(text) else "")
-        own = [c for n, c in self.by.items() if n in (scripts, "other") or not scripts and n not in ("han", "cyrillic")]
-        return min(len(c.compress(data)) for c in own or self.by.values())
-
-    def oddity(self, text: str) -> float:
-        near = "\n".join(AROUND.findall(text))
-        return ODD_COST * (len(ODD.findall(near)) + len(SURE.findall(text if "\0" in text else near)))
+        if len(self.sizes) >= REMEMBERED:
+            self.sizes.clear()
+        self.sizes[text] = out = min(len(c.compress(data)) for c in self.compressors)
+        return out
 
-    def best(self, text: str, extra: dict[str, tuple[str, float]] | None = None) -> tuple[str, str]:
+    def best(self, text: str) -> tuple[str, str]:
         """The reading with the shortest description, and its chain ('' if it is the text itself)."""
-        options = ({} if "\ufffd" in text else readings(text)) | (extra or {})
-        options[text] = ("", 0.0)
-        if len(options) == 1:
-            return text, ""
-        out, least = text, self(text)
-        for t, (_, cost) in sorted(options.items(), key=lambda x: (x[1][1], len(x[1][0]), x[0])):
-            fixed = cost + self.oddity(t) if t != text else least
-            if fixed < least and (total := fixed + self.size(t)) < least:  # a size is never negative
-                out, least = t, total
-        return out, options[out][0]
-
-
-def chain_cost(chain: str) -> float:
-    return sum(STEP_COST["utf-8" if step.endswith("utf-8") else "other"] for step in chain.split() if step != "+")
+        if (known := self.bests.get(text)) is not None:
+            return known
+        options = {text: ""} if "\ufffd" in text else readings(text)
+        least, out = self.size(text), text
+        for t, chain in options.items():
+            # a size is never negative
+            if chain and (cost := chain_cost(chain)) < least and (total := cost + self.size(t)) < least:
+                least, out = total, t
+        if len(self.bests) >= REMEMBERED:
+            self.bests.clear()
+        self.bests[text] = known = out, options[out]
+        return known
+
+
+def core(text: str) -> tuple[int, int]:
+    """Bounds of the words from the first to the last that hold a character beyond ASCII; (0, 0) if there is none."""
+    first = NOT_ASCII.search(text)
+    if not first:
+        return 0, 0
+    backwards = text[::-1]
+    last = len(text) - NOT_ASCII.search(backwards).start()
+    before = BLANK.search(backwards, len(text) - first.start())
+    after = BLANK.search(text, last)
+    return len(text) - before.start() if before else 0, after.start() if after else len(text)
+
+
+def _by_parts(parts: list[str], describe: Describer) -> tuple[str, str]:
+    fixed = [describe.best(p) if NOT_ASCII.search(p) else (p, "") for p in parts]
+    return "".join(p for p, _ in fixed), " + ".join(dict.fromkeys(c for _, c in fixed if c))
 
 
 def restore(text: str, raw: bytes | None, describe: Describer) -> tuple[bool, str, str]:
     """Whether the text is affected, the chain by which it was restored ('' if it can't be), the restored text."""
-    if not NOT_ASCII.search(text) and "\x00" not in text:
+    evident = bool(SURE.search(text))
+    a, b = core(text)
+    if not evident and a == b:
         return False, "", text
-    extra: dict[str, tuple[str, float]] = {}
+    if "\x00" in text and evident:
+        data = text.encode("latin-1", "ignore")
+        wide = [(f"latin-1>{codec}", decode(data[: len(data) // 2 * 2], codec)) for codec in ("utf-16-le", "utf-16-be")]
+        wide = [(describe.size(out), chain, out) for chain, out in wide if out and "\x00" not in out]
+        if wide:
+            return True, *min(wide)[1:]
+    inner = text[a:b]
+    own = describe.size(inner)
+    tried = [describe.best(inner), _by_parts(PIECES.split(inner), describe), _by_parts(re.split(r"(\s+)", inner), describe)]
+    options = [(describe.size(t) + chain_cost(chain), chain, text[:a] + t + text[b:]) for t, chain in tried if chain]
     if raw is not None:
         data = raw.rstrip(b"\r\n")
         certain = not data.isascii() and decode(data, "utf-8") is not None
         for codec in ["utf-8"] if certain else WRITTEN:
             out = decode(data, codec)
-            if out is not None and out != text and not SURE.search(out):
-                extra[out] = (f"raw>{codec}", STEP_COST["utf-8" if codec == "utf-8" else "other"])
-    if "\x00" in text:
-        data = text.encode("latin-1", "ignore")
-        for codec in ("utf-16-le", "utf-16-be"):
-            out = decode(data[: len(data) // 2 * 2], codec)
-            if out:
-                extra[out] = (f"latin-1>{codec}", STEP_COST["utf-8"])
-    tried = [describe.best(text, extra)]
-    parts = PIECES.split(text)
-    if len(parts) > 1:
-        fixed = [(p, "") if i % 2 or not NOT_ASCII.search(p) else describe.best(p) for i, p in enumerate(parts)]
-        tried.append(("".join(p for p, _ in fixed), " + ".join(dict.fromkeys(c for _, c in fixed if c))))
-    fixed = []
-    for w in re.split(r"(\s+)", text):
-        good = {t: c for t, c in readings(w).items() if c[0].endswith(">utf-8")} if NOT_ASCII.search(w) else {}
-        pick = min(good, key=lambda t: (len(t.encode()), t)) if good else w
-        fixed.append((pick, good[pick][0] if good else ""))
-    tried.append(("".join(w for w, _ in fixed), " + ".join(dict.fromkeys(c for _, c in fixed if c))))
-    tried = [t for t in tried if t[1]]
-    out, chain = min(tried, key=lambda t: describe(t[0]) + chain_cost(t[1])) if tried else (text, "")
-    if chain and len(tried) == 1 and tried[0] == ("".join(w for w, _ in fixed), chain) and describe(out) + chain_cost(chain) >= describe(text):
-        out, chain = text, ""
-    return bool(chain) or bool(SURE.search(text)), chain, out
+            if out is not None and out != text:
+                # what it is shorter by, over all that differs
+                c, d = core(out)
+                before, after = min(a, c), min(len(text) - b, len(out) - d)
+                shorter = describe.size(text[before : len(text) - after]) - describe.size(out[before : len(out) - after])
+                chain = f"raw>{codec}"
+                options.append((own - shorter + chain_cost(chain), chain, out))
+    if evident:
+        # the text itself is no candidate then, nor is any other that can't have been written
+        options = [x for x in options if not SURE.search(x[2])]
+    else:
+        options.append((own, "", text))
+    _, chain, out = min(options, default=(own, "", text))
+    return evident or bool(chain), chain, out
 
 
 def language(text: Column) -> Column:
@@ -194,24 +197,40 @@ def language(text: Column) -> Column:
     return out
 
 
+def _clean(text: str) -> bool:
+    """Whether no part of a text could be UTF-8 that was read by another codec: strict decoding rarely succeeds by chance."""
+    parts = {text, *PIECES.split(text), *text.split()}
+    return not any(chain.endswith(">utf-8") for p in parts if NOT_ASCII.search(p) for chain in readings(p, 1).values())
+
+
 def train(df: DataFrame, text: str, raw: str, sample: int = SAMPLE) -> dict[str, bytes]:
     """A dictionary of each language, from at most `sample` distinct texts each that agree with their bytes in UTF-8.
 
-    The texts are those with the smallest hashes, whatever the number of rows.
+    The texts are those with the smallest hashes of the whole table, read once: a task passes on at most `sample` of each language.
     """
     agree = (
         df.where(F.col(raw).isNotNull() & F.col(text).rlike(r"[^\x00-\x7F]") & ~F.col(text).rlike(r"[\x{FFFD}\x{80}-\x{9F}\x{E000}-\x{F8FF}]"))
         .where(F.regexp_replace(F.col(raw).cast("string"), r"[\r\n]+$", "") == F.regexp_replace(F.col(text), r"[\r\n]+$", ""))
-        .select(F.col(text).alias("text"), language(F.col(text)).alias("language"))
+        .select(language(F.col(text)).alias("language"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     )
-    parts = None
-    for name, _ in LANGUAGES:
-        part = agree.where(F.col("language") == name).distinct().orderBy(F.xxhash64("text"), "text").limit(sample)
-        parts = part if parts is None else parts.union(part)
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, set[tuple[int, str]]] = {}
+        for batch in batches:
+            for name, h, t in zip(*[c.to_pylist() for c in batch.columns]):
+                kept.setdefault(name, set()).add((h, t))
+            kept = {name: set(sorted(rows)[:sample]) if len(rows) > sample else rows for name, rows in kept.items()}
+        rows = [(name, h, t) for name, own in kept.items() for h, t in own]
+        cols = list(zip(*rows)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.int64(), pa.string()])], names=["language", "hash", "text"])
+
+    place = F.dense_rank().over(Window.partitionBy("language").orderBy("hash", "text"))
+    chosen = agree.mapInArrow(smallest, agree.schema).distinct().withColumn("place", place).where(F.col("place") <= sample)
     texts: dict[str, list[bytes]] = {}
-    for row in parts.collect():
-        if not ODD.search(row.text) and not any(c[0].endswith(">utf-8") for c in readings(row.text).values()):
-            texts.setdefault(row.language, []).append(row.text.encode())
+    for row in chosen.select("language", "text").collect():
+        if _clean(row.text):
+            a, b = core(row.text)
+            texts.setdefault(row.language, []).append(row.text[a:b].encode())
     out = {}
     for name, samples in texts.items():
         try:
@@ -239,4 +258,4 @@ def repair(df: DataFrame, row_id: str, text: str, raw: str, dictionaries: dict[s
                     pa.array([d[2].encode("utf-8", "replace").decode() for d in done], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=schema.names)
 
-    return spread(df.select(row_id, text, raw).where(F.length(text) > 0)).mapInArrow(run, schema)
+    return df.select(row_id, text, raw).where(F.length(text) > 0).mapInArrow(run, schema)
