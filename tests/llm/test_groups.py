@@ -113,3 +113,43 @@ def test_event_key_forgets_values_case_and_punctuation(spark):
     df = spark.createDataFrame([(t,) for t in same + other], "t string").select(runs.event_key(F.col("t")))
     keys = [r[0] for r in df.collect()]
     assert len(set(keys[:3])) == 1 and len(set(keys)) == 3
+
+
+def least_cost(events, distance, penalty):
+    """Over all segmentations, with the best representative of each run among all events."""
+    n, best = len(events), [0.0]
+    for i in range(1, n + 1):
+        best.append(min(best[j] + penalty + min(sum(distance(r, x) for x in events[j:i]) for r in set(events)) for j in range(i)))
+    return best[n]
+
+
+def test_pruned_recursion_reaches_the_least_cost():
+    rnd = random.Random(7)
+    words = "a b c d e f".split()
+    for _ in range(300):
+        vocabulary = [" ".join(sorted(rnd.sample(words, rnd.randint(2, 6)))) for _ in range(rnd.randint(1, 5))]
+        events = [rnd.choice(vocabulary) for _ in range(rnd.randint(1, 14))]
+        penalty = rnd.choice([0.1, 0.25, 0.3, 0.6])
+        starts = runs.Segmenter(runs.jaccard_distance, penalty).cuts(events, [1] * len(events))
+        cost = 0.0
+        for a, b in zip(starts, [*starts[1:], len(events)]):
+            cost += penalty + min(sum(runs.jaccard_distance(r, x) for x in events[a:b]) for r in set(events))
+        assert starts[0] == 0 and abs(cost - least_cost(events, runs.jaccard_distance, penalty)) < 1e-9, (events, penalty, starts)
+
+
+def test_a_chain_of_small_steps_is_cut(spark):
+    words = "abcdefghijklmnopqrst"
+    events = [" ".join(words[i : i + 8]) for i in range(12)]  # neighbours share 7 of 9 words, the first and the last none
+    df = spark.createDataFrame([(1, i, i, e) for i, e in enumerate(events)], "f int, s int, id int, ev string").withColumn("ts", F.timestamp_seconds("s"))
+    for shard_s in (5, 100):
+        got = runs.collapse_runs(df, ["f"], "ts", "id", "ev", 4, 0.3, runs.jaccard_distance, shard_s).collect()
+        assert len(got) > 2 and sum(r.rows for r in got) == 12
+        cuts = runs.Segmenter(runs.jaccard_distance, 0.3).cuts(events, [1] * 12)
+        assert sorted(r.min_id for r in got) == cuts
+
+
+def test_ties_in_time_go_by_the_given_order(spark):
+    rows = [(1, 0, 3, 1, "a"), (1, 0, 2, 2, "b"), (1, 0, 1, 3, "a"), (1, 0, 0, 4, "a")]
+    df = spark.createDataFrame(rows, "f int, s int, id int, n int, ev string").withColumn("ts", F.timestamp_seconds("s"))
+    got = runs.collapse_runs(df, ["f"], "ts", "id", "ev", order="n").collect()
+    assert sorted((r.min_id, r.max_id, r.event) for r in got) == [(0, 1, "a"), (2, 2, "b"), (3, 3, "a")]

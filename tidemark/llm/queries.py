@@ -35,7 +35,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "log_lines").select("file_id", "component", "ts_utc", "line_id", "template_id")
+    lines = table(spark, d, "log_lines").select("file_id", "component", "ts_utc", "line_no", "line_id", "template_id")
     events = table(spark, d, "templates").select("template_id", runs.event_key(F.col("template_text")).alias("event"))
     return lines.where(F.col("ts_utc").isNotNull() & F.col("template_id").isNotNull()).join(events, "template_id", "left").withColumn(
         "event", F.coalesce("event", F.concat(F.lit("template "), F.col("template_id").cast("string")))
@@ -43,14 +43,14 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Near-identical events too: word sets that differ in at most a fifth."""
+    """Near-identical events too: word sets that differ little from those of their run."""
     return runs.collapse_runs(
-        _events(spark, d), ["file_id", "component"], "ts_utc", "line_id", "event", penalty=0.2, dissimilarity=runs.jaccard_distance
+        _events(spark, d), ["file_id", "component"], "ts_utc", "line_id", "event", penalty=0.1, dissimilarity=runs.jaccard_distance, order="line_no"
     )
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = runs.collapse_runs(_events(spark, d), ["file_id", "component"], "ts_utc", "line_id", "event", max_gap_s=60)
+    found = runs.collapse_runs(_events(spark, d), ["file_id", "component"], "ts_utc", "line_id", "event", max_gap_s=60, order="line_no")
     return found.where(F.col("rows") >= 3).select(F.col("min_id").alias("line_id_a"), F.col("max_id").alias("line_id_b"))
 
 
@@ -116,11 +116,11 @@ FROM t, n"""
 _EVENTS = r"""
 WITH tk AS (SELECT template_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(template_text),
     '([=:：])\s*[^\s,;|，；]+', '\1 ', 'g'), '<\*>|\b\d[\w.%]*', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS event FROM templates),
-l AS (SELECT DISTINCT l.line_id, l.file_id, l.component, epoch_us(l.ts_utc) AS us, coalesce(event, 'template ' || l.template_id) AS event
+l AS (SELECT DISTINCT l.line_id, l.line_no, l.file_id, l.component, epoch_us(l.ts_utc) AS us, coalesce(event, 'template ' || l.template_id) AS event
   FROM log_lines l LEFT JOIN tk USING (template_id) WHERE l.ts_utc IS NOT NULL AND l.template_id IS NOT NULL AND l.line_id IS NOT NULL),
 c AS (SELECT *, CASE WHEN lag(event) OVER w = event AND us - lag(us) OVER w <= 60000000 THEN 0 ELSE 1 END AS cut
-  FROM l WINDOW w AS (PARTITION BY file_id, component ORDER BY us, line_id)),
-r AS (SELECT *, sum(cut) OVER (PARTITION BY file_id, component ORDER BY us, line_id ROWS UNBOUNDED PRECEDING) AS run FROM c)"""
+  FROM l WINDOW w AS (PARTITION BY file_id, component ORDER BY us, line_no NULLS FIRST, line_id)),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY file_id, component ORDER BY us, line_no NULLS FIRST, line_id ROWS UNBOUNDED PRECEDING) AS run FROM c)"""
 
 ORACLE: dict[str, str] = {
     "p3_terms": _P3,
