@@ -1,50 +1,74 @@
-"""Occurrence and record counts of every term, from vertical record bitmaps."""
+"""Occurrence and record counts of every term, from vertical record bitmaps.
+
+A term's bitmap of record ids is kept word by word, without the words that hold no bit (as word-aligned compressed bitmaps
+do): one row of 64 ids, so that a rare term takes no more rows than it has records and a dense one a 64th of them. Words
+and counters are built in one aggregation that combines before it shuffles; partial words merge by union (bitwise or),
+and cardinalities are bit counts. A frequent term is many words, which no task need hold together.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
+
+def _word(number: Column) -> Column:
+    return F.shiftright(number, 6)
+
+
+def _bit(number: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), number.bitwiseAND(F.lit(63)).cast("int"))
+
 
 def term_bitmaps(df: DataFrame, term: str, record: str, occurrence: str | None = None) -> DataFrame:
-    """One row per term and block of 32,768 record ids: a bitmap of the records, and the occurrences.
+    """Words of each term's bitmaps: term, record (null in bitmaps of records), word (64 ids), bits, rows.
 
-    With `occurrence` a repeated (term, record, occurrence) counts once, else every row counts.
-    Null terms are left out; a null record id counts as an occurrence but as no record.
+    Rows with a null `record` are words of the term's record bitmap. With `occurrence` there are also the words of the
+    occurrences of each (term, record), so that a repeated (term, record, occurrence) counts once; else every row counts.
+    Record and occurrence ids are whole numbers. Null terms are left out, with `occurrence` null occurrences too; a null
+    record counts as an occurrence but as no record: its word is null, or in a bitmap of occurrences its record is -1
+    and `lost` is true.
     """
-    rows = df.select(
-        F.col(term).alias("term"),
-        F.col(record).cast("bigint").alias("record"),
-        *([F.col(occurrence).alias("occurrence")] if occurrence else []),
-    ).where(F.col("term").isNotNull())
+    number = F.col(record).cast("bigint")
+    rows = df.select(F.col(term).alias("term"), number.alias("id"), F.col(occurrence or record).cast("bigint").alias("occurrence"))
+    rows = rows.where(F.col("term").isNotNull())
+    none = F.lit(None).cast("bigint")
+    of_records = F.struct(F.lit(False).alias("of_occurrences"), none.alias("record"), F.lit(False).alias("lost"), _word(F.col("id")).alias("word"), _bit(F.col("id")).alias("bit"))
+    kinds = [of_records]
     if occurrence:
-        rows = rows.where(F.col("occurrence").isNotNull()).distinct()
-    # occurrences per (term, record) first: the bitmaps then take each bit once, and a hot term is many small groups
-    pairs = rows.groupBy("term", "record").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.groupBy("term", F.bitmap_bucket_number("record").alias("block")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("record")).alias("bits"),
-        F.sum("n").alias("occurrences"),
+        rows = rows.where(F.col("occurrence").isNotNull())
+        kinds.append(F.struct(
+            F.lit(True).alias("of_occurrences"), F.coalesce("id", F.lit(-1)).alias("record"), F.col("id").isNull().alias("lost"),
+            _word(F.col("occurrence")).alias("word"), _bit(F.col("occurrence")).alias("bit"),
+        ))
+    return (
+        rows.select("term", F.inline(F.array(*kinds)))
+        .groupBy("term", "of_occurrences", "record", "lost", "word")
+        .agg(F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("rows"))
     )
 
 
 def term_frequencies(df: DataFrame, term: str, record: str, occurrence: str | None = None) -> DataFrame:
     """term, occurrences, records (document frequency), all_records (records with any term).
 
-    An empty input gives no rows. Bitmaps of a block are merged by union; a document frequency is a cardinality.
+    An empty input gives no rows. The words are written once; the terms' cardinalities and the union over all terms
+    both come from them.
     """
-    blocks = term_bitmaps(df, term, record, occurrence)
+    words = materialize(term_bitmaps(df, term, record, occurrence))
+    of_records = ~F.col("of_occurrences")
+    cardinality = F.coalesce(F.bit_count("bits"), F.lit(0))
     universe = (
-        blocks.where(F.col("block").isNotNull())
-        .groupBy("block")
-        .agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+        words.where(of_records & F.col("word").isNotNull())
+        .groupBy("word")
+        .agg(F.bit_count(F.bit_or("bits")).alias("n"))
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     )
+    occurrences = F.when(F.col("of_occurrences"), cardinality) if occurrence else F.col("rows")
     return (
-        blocks.groupBy("term")
-        .agg(
-            F.sum("occurrences").alias("occurrences"),
-            F.sum(F.when(F.col("block").isNotNull(), F.bitmap_count("bits")).otherwise(0)).alias("records"),
-        )
+        words.groupBy("term")
+        .agg(F.sum(occurrences).alias("occurrences"), F.sum(F.when(of_records, cardinality).otherwise(0)).alias("records"))
         .withColumn("all_records", universe.scalar())
     )
 
