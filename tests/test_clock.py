@@ -1,4 +1,5 @@
 import random
+from itertools import product
 from datetime import datetime, timedelta, timezone
 
 import pyarrow.parquet as pq
@@ -106,3 +107,37 @@ def test_interpretations_keep_clashing_columns(spark):
     assert out.columns == [*df.columns, "instants"]
     assert out.select(F.size("instants")).first()[0] == 1
     assert df.select(epoch_instant(trimmed(F.lit(" 12 ")))).first()[0] == 12_000_000
+
+
+def path_cost(path, tolerance=60_000_000):
+    return sum((a[0] != b[0]) + (b[1] < a[1] - tolerance) for a, b in zip(path, path[1:]))
+
+
+def test_day_or_month_first_is_told_by_context(spark):
+    day_first = ["03/04/2025 10:00:00", "04/04/2025 09:00:00", "25/04/2025 08:00:00", "03/05/2025 07:00:00", "05/05/2025 07:00:00", "99/99/2025 07:00:00"]
+    month_first = ["04/03/2025 10:00:00", "04/04/2025 09:00:00", "04/25/2025 08:00:00", "05/03/2025 07:00:00", "05/05/2025 07:00:00", "99/99/2025 07:00:00"]
+    want = ["2025-04-03T10:00:00+02:00", "2025-04-04T09:00:00+02:00", "2025-04-25T08:00:00+02:00", "2025-05-03T07:00:00+02:00", "2025-05-05T07:00:00+02:00"]
+    for texts in (day_first, month_first):
+        for block in (1, 2, 20):
+            rows = [(i, 1, i, None, t, None) for i, t in enumerate(texts)]
+            assert solve(spark, rows + rows[:2], block=block) == {i: at(t) for i, t in enumerate(want)}
+
+
+def test_chained_blocks_reach_the_least_cost(spark):
+    rnd = random.Random(9)
+    minute = 60_000_000
+    rows = []
+    for f in (1, 2, 3, None):
+        t = 0
+        for n in range(9):
+            t += rnd.choice([1, 5, -4, 30]) * minute
+            for k in range(rnd.choice([1, 2, 2, 3])):
+                early = t + rnd.choice([0, 7, -9, 40]) * minute * (k > 0)
+                rows.append((n, f, n, 3, k if k else rnd.choice([0, 5]), early, early))
+    df = spark.createDataFrame(rows, "rec_id bigint, file_id int, line_no bigint, ways int, format int, early bigint, late bigint")
+    for block in (1, 2, 4, 100):
+        chosen = clock.settled_formats(df.withColumn("block", F.floor(F.col("line_no") / block)), "file_id", minute).collect()
+        for f in (1, 2, 3, None):
+            path = [(r.format, r.early) for r in sorted((r for r in chosen if r.file_id == f), key=lambda r: r.line_no)]
+            options = [[(r[4], r[5]) for r in rows if r[1] == f and r[2] == n] for n in range(9)]
+            assert len(path) == 9 and path_cost(path) == min(map(path_cost, product(*options)))

@@ -22,6 +22,9 @@ FORMATS = [
     (rf"^(\d{{1,2}})-(\d{{1,2}})\s+{_CLOCK}{_ZONE}", "|$1|$2|$3|$4|$5|$6||$7"),
     (rf"^(\d{{2}})(\d{{2}})\s+{_CLOCK}{_ZONE}", "|$1|$2|$3|$4|$5|$6||$7"),
     (rf"^([A-Za-z]{{3}})[a-z]*\s+(\d{{1,2}})\s+{_CLOCK}{_ZONE}", "|$1|$2|$3|$4|$5|$6||$7"),
+    # day or month first: only other records of the source can tell
+    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})\s+{_CLOCK}{_ZONE}", "$3|$2|$1|$4|$5|$6|$7||$8"),
+    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})\s+{_CLOCK}{_ZONE}", "$3|$1|$2|$4|$5|$6|$7||$8"),
 ]
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 #: a stamp without year is looked for in this many years (29 February may need eight)
@@ -59,6 +62,12 @@ def stamp_parts(text: Column) -> Column:
     return F.split(out, r"\|")
 
 
+def stamp_readings(text: Column) -> Column:
+    """Every layout that a stamp can be read by: array<struct<format int, parts array<string>>> with the parts of stamp_parts."""
+    ways = [F.when(text.rlike(p), F.struct(F.lit(i).alias("format"), F.split(F.regexp_replace(text, p, order), r"\|").alias("parts"))) for i, (p, order) in enumerate(FORMATS)]
+    return F.filter(F.array(*ways), lambda x: x.isNotNull())
+
+
 def epoch_instant(text: Column) -> Column:
     """Pure digits as seconds (to 11 digits), milliseconds (12 to 14) or microseconds (15 to 17); seconds may have a fraction."""
     whole = F.regexp_extract(text, r"^(\d+)(?:\.(\d+))?$", 1)
@@ -74,9 +83,11 @@ def epoch_instant(text: Column) -> Column:
     )
 
 
-def with_interpretations(df: DataFrame, raw: str, zone: str, collected: str, out: str = "instants") -> DataFrame:
+def with_interpretations(df: DataFrame, raw: str | Column, zone: str, collected: str, out: str = "instants") -> DataFrame:
     """Adds the possible instants of a stamp: array<struct<early, late>> in microseconds, most recent year first.
 
+    raw is the stamp, read by the first layout that fits, or one of its readings' parts.
+
     early and late differ where a local time occurs twice. zone is that of a stamp without offset or zone, collected the
     instant (timestamp) that a stamp without year is bound by. A stamp that is no valid date and time gives an empty
     array, as does null. Each step is a projection of its own, so that no part is evaluated twice.
@@ -139,7 +150,7 @@ def with_interpretations(df: DataFrame, raw: str, zone: str, collected: str, out
     bound = lambda x: x["early"].isNotNull() & (~s["no_year"] | (x["early"] <= s["collected"] + DAY_US))
     none = F.array().cast("array<struct<early:bigint,late:bigint>>")
     return (
-        df.withColumn("_tm_parts", stamp_parts(F.col(raw)))
+        df.withColumn("_tm_parts", stamp_parts(F.col(raw)) if isinstance(raw, str) else raw)
         .withColumn("_tm_printed", F.regexp_replace(F.col("_tm_parts")[8], r"[\[\]]", ""))
         .withColumns({f"_tm_{name}": field for name, field in fields.items()})
         .withColumn("_tm_dates", F.transform(years, local))
