@@ -187,7 +187,9 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def settled_formats(rows: DataFrame, source: str, tolerance: int) -> DataFrame:
-    """rows (a row a candidate) with one candidate a record: the one on its source's cheapest path."""
+    """rows (a row a candidate) with one candidate a record: the one on its source's cheapest path. Without `ways`, records have one each."""
+    if "ways" not in rows.columns:
+        return rows
     several = rows.where(F.col("ways") > 1)
     if several.isEmpty():  # each record has one candidate, so each source one path
         return rows
