@@ -26,7 +26,7 @@ def solve(spark, rows, shard):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "a string, s bigint, e bigint, shard int, run int")
     runs = intervals.run_bitmaps(df, ["a"], "s", "e", shard)
     return {
-        "gaps": sorted(map(tuple, intervals.clear_runs(runs, ["a"]).collect())),
+        "gaps": sorted(map(tuple, intervals.clear_runs(runs, ["a"], shard).collect())),
         "periods": sorted(map(tuple, intervals.set_runs(runs, ["a"], shard).collect())),
     }
 
@@ -52,3 +52,18 @@ def test_nulls_backward_touching_and_empty(spark):
 def test_one_entity_with_most_rows(spark):
     rows = [("hot", i * 7 % 5000, i * 7 % 5000 + 3) for i in range(5000)] + [("b", i, i) for i in range(20)]
     assert solve(spark, rows, 100) == model(rows)
+
+
+def test_union_of_bit_runs():
+    rnd = random.Random(3)
+    for _ in range(300):
+        runs = [(a, a + rnd.randint(0, 6)) for a in (rnd.randint(0, 60) for _ in range(rnd.randint(0, 9)))]
+        bits = {b for first, last in runs for b in range(first, last + 1)}
+        united = intervals.union(runs)
+        assert {b for first, last in united for b in range(first, last + 1)} == bits
+        assert all(b[0] > a[1] + 1 for a, b in zip(united, united[1:]))
+
+
+def test_one_bitmap_a_shard_however_many_tasks_hold_it(spark):
+    df = spark.createDataFrame([("a", i % 50, i % 50 + 1) for i in range(1000)], "a string, s bigint, e bigint").repartition(8)
+    assert [tuple(r) for r in intervals.run_bitmaps(df, ["a"], "s", "e", 1000).collect()] == [("a", 0, [0, 100])]
