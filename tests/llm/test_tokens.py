@@ -1,4 +1,5 @@
 import random
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -79,3 +80,20 @@ def test_documents_in_containers(spark):
     assert all(len(v) == 1 for (t, d), v in parts.items() if d not in (1, 4) and sum(r.tokens for r in v) <= {"s": 64, "l": 256}[t])
     empty = packing.pack_documents(docs.limit(0), budgets, "doc_id", "text")
     assert empty.count() == 0 and packing.fill(empty).count() == 0
+
+
+def test_linear_program_over_all_configurations():
+    rnd = random.Random(6)
+    for _ in range(60):
+        capacity = rnd.choice([40, 100, 1000])
+        sizes = sorted({rnd.randint(capacity // 4 + 1, capacity) for _ in range(rnd.randint(1, 7))}, reverse=True)
+        demand = np.array([rnd.randint(1, 9) for _ in sizes], dtype=float)
+        columns = packing.configurations(sizes, capacity)
+        every = {c for n in (1, 2, 3) for c in combinations_with_replacement(range(len(sizes)), n) if sum(sizes[k] for k in c) <= capacity}
+        assert len(columns) == len(every) and (columns @ np.array(sizes) <= capacity).all()
+        used = packing.fewest(columns, demand)
+        assert np.allclose(sum(times * config for config, times in used), demand, atol=1e-6)
+        # optimal: prices of the sizes under which no configuration is worth more than its container, and all uses are paid
+        least = sum(times for _, times in used)
+        price = np.linalg.solve(np.array([config for config, _ in used], dtype=float), np.ones(len(sizes)))
+        assert (columns @ price <= 1 + 1e-6).all() and abs(price @ demand - least) < 1e-5

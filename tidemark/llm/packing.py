@@ -1,11 +1,11 @@
 """Documents into containers of fixed capacity, by linear grouping within independent shards.
 
-Documents are dealt to shards by a hash of their id, so that a shard holds a bounded number whatever the corpus holds.
-Each shard is a bin packing of its own: large items are sorted and cut into groups of equal cardinality, each rounded
-up to its largest; the few sizes are packed by configurations (multisets of sizes that fit), chosen greedily by fill
-and by how often the remaining counts allow them; actual documents are put into the slots; small items then go, largest
-first, into the container with the least room that still holds them. An item over the capacity is cut into full
-containers and a rest, which is packed like others.
+Documents are dealt to shards by a hash, so that a shard holds a bounded number whatever the corpus holds. Each shard is
+a bin packing of its own: large items (above a quarter of the capacity or more) are sorted and cut into groups of
+equal cardinality, each rounded up to its largest. All configurations (multisets of the few sizes that fit, at most three items) are
+enumerated, and the linear program for the fewest containers over them is solved exactly; its whole parts are applied
+with actual documents in the slots. What is left, large ones first, goes into the container with the least room that still
+holds it. An item over the capacity is cut into full containers and a rest, which is packed like others.
 """
 
 from __future__ import annotations
@@ -29,24 +29,44 @@ SHARD_ITEMS = 20_000
 LARGE = (0.25, 0.34, 0.5)
 #: groups of large items
 GROUPS = 24
-#: configurations tried from each state before the best is applied
-KEEP = 64
-
-
-def _configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[float, tuple[int, ...]]]:
-    """Well filled multisets of the sizes (descending) that the counts allow: the best by fill, found by beam search."""
-    beam: list[tuple[int, tuple[int, ...]]] = [(0, ())]
-    for k, size in enumerate(sizes):
-        wider = []
-        for used, config in beam:
-            for n in range(min(counts[k], (capacity - used) // size) + 1):
-                wider.append((used + n * size, (*config, n)))
-        wider.sort(key=lambda x: -x[0])
-        spread = wider[:KEEP]
-        # keep emptier ones too: smaller sizes may fill them better
-        spread += wider[KEEP :: max(1, len(wider) // KEEP)][:KEEP]
-        beam = spread
-    return beam
+#: of reduced costs and of whole numbers
+EPSILON = 1e-7
+
+
+def configurations(sizes: list[int], capacity: int) -> np.ndarray:
+    """Every multiset of the sizes (descending) that fits, as counts; the sizes are large, so that three items at most do."""
+    out: list[list[int]] = []
+
+    def extend(counts: list[int], k: int, room: int) -> None:
+        for j in range(k, len(sizes)):
+            if sizes[j] <= room:
+                counts[j] += 1
+                out.append(counts.copy())
+                extend(counts, j, room - sizes[j])
+                counts[j] -= 1
+
+    extend([0] * len(sizes), 0, capacity)
+    return np.array(out, dtype=np.float64).reshape(-1, len(sizes))
+
+
+def fewest(columns: np.ndarray, demand: np.ndarray) -> list[tuple[np.ndarray, float]]:
+    """The configurations of an optimal basis and how often each is used, fractions included: minimise the containers
+    that hold the demand of each size exactly. Simplex over all columns, begun with containers of one item each."""
+    m = len(demand)
+    basis, use = np.eye(m), demand + np.arange(1, m + 1) * 1e-9  # a little apart, against cycling
+    for _ in range(50 * m + len(columns)):
+        price = np.linalg.solve(basis.T, np.ones(m))
+        worth = columns @ price
+        enter = columns[int(np.argmax(worth))]
+        if worth.max() <= 1 + EPSILON:
+            break
+        way = np.linalg.solve(basis, enter)
+        ratio = np.where(way > EPSILON, use / np.where(way > EPSILON, way, 1.0), np.inf)
+        leave = int(np.argmin(ratio))
+        use = np.maximum(use - ratio[leave] * way, 0.0)
+        use[leave] = ratio[leave]
+        basis[:, leave] = enter
+    return [(basis[:, k].astype(int), float(use[k])) for k in range(m)]
 
 
 def pack(items: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -60,28 +80,25 @@ def _pack(items: np.ndarray, capacity: int, share: float) -> tuple[np.ndarray, i
     n_large = int(np.searchsorted(-items[order], -share * capacity))
     large = order[:n_large]
     rooms: list[int] = []
+    rest = order[n_large:].tolist()
     if n_large:
         cuts = np.unique(np.linspace(0, n_large, min(GROUPS, n_large) + 1).astype(int))
         queues = [large[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
         sizes = [int(items[q[0]]) for q in queues]
-        while any(queues):
-            live = [k for k, q in enumerate(queues) if q]
-            counts = [len(queues[k]) for k in live]
-            beam = _configurations([sizes[k] for k in live], counts, capacity)
-            used, config = max(beam)
-            times = min(c // n for c, n in zip(counts, config) if n)
-            # apply it for half of what the counts allow, so that the groups run out together
-            for _ in range(max(1, times // 2 if times > 8 else times)):
+        demand = np.array([len(q) for q in queues], dtype=np.float64)
+        for config, times in fewest(configurations(sizes, capacity), demand):
+            for _ in range(int(times + 1e-6)):
                 room = capacity
-                for k, n in zip(live, config):
-                    for _ in range(n):
+                for k in np.flatnonzero(config).tolist():
+                    for _ in range(int(config[k])):
                         item = queues[k].pop()
                         at[item] = len(rooms)
                         room -= int(items[item])
                 rooms.append(room)
-    # best fit of the small ones: rooms in ascending order
+        rest = [item for q in queues for item in q] + rest
+    # best fit of what is left: rooms in ascending order
     free = sorted((room, k) for k, room in enumerate(rooms))
-    for item in order[n_large:].tolist():
+    for item in rest:
         size = int(items[item])
         i = bisect.bisect_left(free, (size, -1))
         if i == len(free):
@@ -120,7 +137,7 @@ def pack_shard(ids: np.ndarray, tokens: np.ndarray, tiers: list[tuple[str, int]]
 
 def _packer(row_id: str, tiers: list[tuple[str, int]]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id)
+        pdf = pdf.sort_values([row_id, "n_tokens"])
         out = pack_shard(pdf[row_id].to_numpy(), pdf["n_tokens"].to_numpy(), tiers)
         out["shard"] = int(pdf["shard"].iloc[0])
         return out
@@ -147,11 +164,12 @@ def pack_documents(
     packed = None
     for name in sorted({t[2] for t in tiers}):
         own = [(t, c) for t, c, n in tiers if n == name]
-        sizes = materialize(encode_corpus(docs, row_id, text, name, tokenizer_dir, counts_only=True))
-        shards = max(1, round(sizes.count() / shard_items))
-        # by the row's place in the written table, so that a repeated id is spread too
-        dealt = sizes.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id(), row_id), F.lit(shards)))
-        part = dealt.groupBy("shard").applyInPandas(_packer(row_id, own), schema)
+        # copies of an id counted, then numbered: the same containers whatever the layout, and a repeated id is spread too
+        sizes = materialize(encode_corpus(docs, row_id, text, name, tokenizer_dir, counts_only=True).groupBy(row_id, "n_tokens").agg(F.count(F.lit(1)).alias("n")))
+        shards = max(1, round((sizes.agg(F.sum("n")).first()[0] or 0) / shard_items))
+        each = sizes.select(row_id, "n_tokens", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+        dealt = each.select(row_id, "n_tokens", F.pmod(F.xxhash64(row_id, "n_tokens", "copy"), F.lit(shards)).alias("shard"))
+        part = dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(_packer(row_id, own), schema)
         packed = part if packed is None else packed.union(part)
     if packed is None:
         packed = df.sparkSession.createDataFrame([], schema)
