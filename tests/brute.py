@@ -93,3 +93,37 @@ def utc_of(stamps: list[dict], anchors: list[dict], places: dict[int, tuple[str,
                 at = both[1] if before is not None and both[0] < before - 60 * 10**6 else both[0]
             out[r["rec_id"]] = before = at
     return out
+
+
+def mined_templates(messages: list[str]) -> list[tuple[int, str]]:
+    """Cluster number and final template of each message, one after the other as they come."""
+
+    def parameter(token: str) -> bool:
+        if re.fullmatch(r"0x[0-9a-fA-F]+|[0-9a-fA-F]{8,}", token):
+            return True
+        return any(c.isdecimal() for c in token) and all(c.isdecimal() or c in ".:,-+/" for c in token)
+
+    children: dict[tuple, set] = defaultdict(set)
+    leaves: dict[tuple, list[int]] = defaultdict(list)
+    clusters: list[list[str]] = []
+    numbers = []
+    for message in messages:
+        tokens = message.split() or [""]
+        way: tuple = ()
+        for key in [str(len(tokens)), *("<*>" if parameter(t) else t for t in tokens[:3])]:
+            if key not in children[way]:
+                if len(children[way]) >= 100:
+                    key = "<*>"
+                children[way].add(key)
+            way = (*way, key)
+        alike = [(sum(a in (b, "<*>") for a, b in zip(clusters[k], tokens)) / len(tokens), -k) for k in leaves[way] if len(clusters[k]) == len(tokens)]
+        share, k = max(alike, default=(0.0, 0))
+        if alike and share >= 0.4:
+            k = -k
+            clusters[k] = [a if a == b else "<*>" for a, b in zip(clusters[k], tokens)]
+        else:
+            k = len(clusters)
+            clusters.append(["<*>" if parameter(t) else t for t in tokens])
+            leaves[way].append(k)
+        numbers.append(k)
+    return [(k + 1, " ".join(clusters[k])) for k in numbers]

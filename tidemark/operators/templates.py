@@ -1,14 +1,20 @@
 """Message templates by a tree of fixed depth, the same in whatever order partitions run.
 
-Tokens are words between blanks. A message's path is its token count and its first three tokens, with numbers and hex
-as wildcards; clusters never cross paths, so a path is the unit of work. A node takes its first hundred distinct
-tokens (by first appearance); later ones share a wildcard child. That rewriting is done level by level with
-aggregates before the miner runs. Within a path messages come in order; one joins the first most similar cluster at or
-above the threshold, whose differing positions become wildcards, or founds its own. Ids follow first appearance.
+Tokens are words between blanks. A message's path is its token count and its first three tokens, with parameters as
+wildcards; clusters never cross paths, so a path is the unit of work. A node takes its first hundred distinct
+children (by first appearance); later ones share the wildcard. That rewriting is done level by level on the distinct
+paths, before the miner runs. Within a path messages come in order; one joins the first most similar cluster at or
+above the threshold, whose differing positions become wildcards, or founds its own, with its parameters as wildcards.
+Ids follow first appearance.
+
+Only distinct messages are mined. A repeat changes no cluster, since the one that its first joined covers it; but it
+belongs to an earlier cluster if that has come to cover it meanwhile. These moves are found from the clusters' history.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,87 +25,120 @@ from tidemark.session import materialize
 # fixed values: similarity, tokens in a path, children of a node, clusters (the reference's limit, to be asked for)
 SIMILAR, DEPTH, CHILDREN, CLUSTERS = 0.4, 3, 100, 5000
 WILD = "<*>"
-PATH = ["size", "t0", "t1", "t2"]
+PATH = ["t_size", "t0", "t1", "t2"]
 #: distinct messages in a bucket of paths, about
 BUCKET_MESSAGES = 50_000
-PARAMETER = r"^(?:[+-]?\d+(?:\.\d+)?|0x[0-9a-fA-F]+|.*\d.*)$"
+# fixed values: tokens that are parameters: digits and their marks, hexadecimal numbers
+PARAMETER = r"^(?:(?=[^{d}]*[{d}])[{d}.:,\-+/]+|0x[0-9a-fA-F]+|[0-9a-fA-F]{{8,}})$"
+JAVA_PARAMETER, PYTHON_PARAMETER = PARAMETER.format(d=r"\p{Nd}"), re.compile(PARAMETER.format(d=r"\d"))
+BLANK = r"(?U)[\s\x1c-\x1f]+"
+MINED = "message string, since bigint, founded bigint, template string"
 
 
 def mine_path(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Distinct messages of one path, in order of first appearance, to clusters."""
+    """Distinct messages of one path and length, in order of first appearance, to clusters.
+
+    message, since, founded, template: where since is null, the cluster that the message joins or founds; else an earlier
+    one that covers it after the message of that place. Clusters are named by their founder's place.
+    """
     rows = pdf.sort_values("first")
     codes: dict[str, int] = {WILD: 0}
     size = int(rows["size"].iloc[0])
+    messages, places = rows["message"].tolist(), rows["first"].tolist()
+    texts = [m.split() or [""] for m in messages]
+    words = np.array([[codes.setdefault(t, len(codes)) for t in text] for text in texts], np.int64).reshape(len(texts), size)
     patterns = np.zeros((16, size), np.int64)
-    founded: list[int] = []
-    member = np.zeros(len(rows), np.int64)
-    for i, (message, first) in enumerate(zip(rows["message"], rows["first"])):
-        words = np.fromiter((codes.setdefault(t, len(codes)) for t in message.split() or [""]), np.int64, size)
+    history: list[list[tuple[int, np.ndarray]]] = []
+    founder: list[int] = []
+    member = np.zeros(len(texts), np.int64)
+    for i, own in enumerate(words):
         k = -1
-        if founded:
-            known = patterns[: len(founded)]
-            same = ((known == words) | (known == 0)).sum(axis=1)
+        if founder:
+            known = patterns[: len(founder)]
+            same = ((known == own) | (known == 0)).sum(axis=1)
             k = int(same.argmax())
-            if same[k] < SIMILAR * size:
+            if same[k] / size < SIMILAR:
                 k = -1
         if k < 0:
-            if len(founded) == len(patterns):
+            if len(founder) == len(patterns):
                 patterns = np.vstack([patterns, np.zeros_like(patterns)])
-            k = len(founded)
-            patterns[k] = words
-            founded.append(first)
+            k = len(founder)
+            patterns[k] = [0 if PYTHON_PARAMETER.match(t) else code for t, code in zip(texts[i], own)]
+            founder.append(i)
+            history.append([])
         else:
-            patterns[k][patterns[k] != words] = 0
+            differs = (patterns[k] != own) & (patterns[k] != 0)
+            if differs.any():
+                patterns[k][differs] = 0
+                history[k].append((i, patterns[k].copy()))
         member[i] = k
     names = list(codes)
-    texts = [" ".join(names[c] for c in p) for p in patterns[: len(founded)]]
-    return pd.DataFrame({"message": rows["message"], "template": [texts[k] for k in member], "founded": [founded[k] for k in member]})
+    templates = [" ".join(names[c] for c in p) for p in patterns[: len(founder)]]
+    out = [(m, None, places[founder[k]], templates[k]) for m, k in zip(messages, member.tolist())]
+    for k, changes in enumerate(history):
+        if not changes:
+            continue
+        later = np.flatnonzero(member > k)
+        for i in later[((words[later] == patterns[k]) | (patterns[k] == 0)).all(axis=1)].tolist():
+            since = next(at for at, p in changes if ((p == words[i]) | (p == 0)).all())
+            out.append((messages[i], places[since], places[founder[k]], templates[k]))
+    frame = pd.DataFrame(out, columns=["message", "since", "founded", "template"])
+    return frame.astype({"since": "Int64"})
 
 
 def mine_paths(pdf: pd.DataFrame) -> pd.DataFrame:
     """The paths of one bucket, one after the other."""
-    return pd.concat([mine_path(g) for _, g in pdf.groupby(PATH, sort=False)], ignore_index=True)
+    return pd.concat([mine_path(g) for _, g in pdf.groupby([*PATH, "size"], sort=False)], ignore_index=True)
 
 
 def _paths(messages: DataFrame) -> DataFrame:
-    """Adds t0..t2, the effective tokens of a path: parameters and tokens beyond a node's first hundred are wildcards."""
-    words = F.split(F.trim(F.regexp_replace("message", r"\s+", " ")), " ")
-    out = messages.withColumn("size", F.size(words))
-    node = ["size"]
-    for i in range(DEPTH):
-        word = F.coalesce(F.get(words, F.lit(i)), F.lit(""))
-        out = out.withColumn(f"w{i}", F.when(word.rlike(PARAMETER), WILD).otherwise(word))
-        seen = out.groupBy(*node, f"w{i}").agg(F.min("first").alias("since"))
-        place = F.row_number().over(Window.partitionBy(*node).orderBy(F.col(f"w{i}") == WILD, "since"))
-        kept = seen.withColumn("place", place).where((F.col("place") <= CHILDREN) & (F.col(f"w{i}") != WILD)).select(
-            *[F.col(c).alias(f"k_{c}") for c in node], F.col(f"w{i}").alias(f"t{i}")
-        )
-        on = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in node] + [F.col(f"w{i}") == F.col(f"t{i}")]
-        out = out.join(kept, on, "left").drop(*[f"k_{c}" for c in node]).withColumn(f"t{i}", F.coalesce(f"t{i}", F.lit(WILD))).drop(f"w{i}")
-        node.append(f"t{i}")
-    return out
+    """Adds size and PATH, the keys on a message's way through the tree: children beyond a node's first hundred are wildcards."""
+    words = F.split(F.trim(F.regexp_replace("message", BLANK, " ")), " ")
+    key = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+    keys = {"size": F.size(words)} | {f"w{i}": F.when(key(i).rlike(JAVA_PARAMETER), WILD).otherwise(key(i)) for i in range(DEPTH)}
+    keyed = messages.withColumns(keys)
+    # the way of each distinct run of keys, of which there are far fewer than messages
+    ways = materialize(keyed.groupBy(*keys).agg(F.min("first").alias("first")))
+    node: list[str] = []
+    for name, child in zip(PATH, keys):
+        seen = ways.groupBy(*node, F.col(child).cast("string").alias("child")).agg(F.min("first").alias("since"))
+        place = F.row_number().over(Window.partitionBy(*node).orderBy("since"))
+        kept = seen.withColumn("place", place).where(F.col("place") <= CHILDREN).select(*[F.col(c).alias(f"k_{c}") for c in node], "child")
+        on = [F.col(c) == F.col(f"k_{c}") for c in node] + [F.col(child).cast("string") == F.col("child")]
+        ways = ways.join(kept, on, "left").withColumn(name, F.coalesce("child", F.lit(WILD))).drop("child", *[f"k_{c}" for c in node])
+        node.append(name)
+    return keyed.join(ways.drop("first"), list(keys))
 
 
 def mine(rows: DataFrame, message: str, order: list[str], clusters: int | None = None) -> DataFrame:
     """Adds template_id (1, 2 ... by first appearance; 0 beyond `clusters`, such as CLUSTERS, if given) and template to rows.
 
-    Equal messages are one item, placed where they first appear: a repeat joins the cluster of its first, because that
-    cluster matches it exactly where it did not already differ. Null messages get null.
+    Equal messages are one item, placed where they first appear. Null messages get null. A path's distinct messages are
+    mined in one task, as each depends on those before it.
     """
     from tidemark.operators.sequence import dense_ids
 
     distinct = rows.where(F.col(message).isNotNull()).groupBy(F.col(message).alias("message")).agg(F.min(F.struct(*order)).alias("place"))
-    placed = materialize(dense_ids(distinct, [F.asc("place"), F.asc("message")], "first").select("message", "first"))
+    placed = materialize(dense_ids(distinct, [F.asc("place"), F.asc("message")], "first"))
     # paths are dealt to buckets of bounded size, since a call for each of many small paths costs more than their work
     buckets = max(64, placed.count() // BUCKET_MESSAGES)
-    dealt = _paths(placed).select("message", "first", *PATH).withColumn("bucket", F.pmod(F.xxhash64(*PATH), F.lit(buckets)))
-    mined = materialize(dealt.groupBy("bucket").applyInPandas(mine_paths, "message string, template string, founded bigint"))
-    founders = dense_ids(mined.select("founded").distinct(), [F.asc("founded")], "n")
+    dealt = _paths(placed.select("message", "first")).withColumn("bucket", F.pmod(F.xxhash64(*PATH), F.lit(buckets)))
+    mined = materialize(dealt.select("message", "first", "size", *PATH, "bucket").groupBy("bucket").applyInPandas(mine_paths, MINED))
     number = F.col("n") + 1
     if clusters is not None:
         number = F.when(F.col("n") < clusters, number).otherwise(0)
-    ids = mined.join(founders, "founded").select("message", "template", number.cast("int").alias("template_id"))
-    return rows.join(ids.withColumnRenamed("message", "_message"), F.col(message) == F.col("_message"), "left").drop("_message")
+    founders = mined.groupBy("founded").agg(F.first("template").alias("template"))
+    numbered = dense_ids(founders, [F.asc("founded")], "n").select("founded", "template", number.cast("int").alias("template_id"))
+    first = mined.where("since IS NULL").select(F.col("message").alias("_message"), F.col("founded").alias("_founded"))
+    out = rows.join(first, F.col(message) == F.col("_message"), "left").drop("_message")
+    moves = mined.where("since IS NOT NULL")
+    if not moves.isEmpty():
+        since = moves.join(placed.select(F.col("first").alias("since"), "place"), "since")
+        moved = since.groupBy(F.col("message").alias("_message")).agg(F.collect_list(F.struct("place", "founded")).alias("_moves"))
+        reached = F.filter("_moves", lambda x: x["place"] < F.struct(*order))
+        out = out.join(moved, F.col(message) == F.col("_message"), "left").drop("_message")
+        out = out.withColumn("_founded", F.least("_founded", F.array_min(F.transform(reached, lambda x: x["founded"])))).drop("_moves")
+    return out.join(numbered, F.col("_founded") == F.col("founded"), "left").drop("_founded", "founded")
 
 
 def template_hash(template: Column) -> Column:
