@@ -51,6 +51,27 @@ def test_records_and_encodings():
     assert archives.detect_encoding("\ufeffab".encode("utf-16"))[0] == "utf-16" and archives.detect_encoding(b"")[0] == "utf-8"
 
 
+@pytest.mark.parametrize("codec", ["utf-16", "utf-16-le", "utf-16-be"])
+def test_utf16_records_keep_the_bytes_of_the_file(codec):
+    text = "\u0a0aäü\r\n    at x\n第二行\n\u0d0a last"
+    data = text.encode(codec)
+    got = list(archives.records(data, codec))
+    assert [(r[0], r[3], r[5]) for r in got] == [(1, 2, "\u0a0aäü\n    at x"), (3, 1, "第二行"), (4, 1, "\u0d0a last")]
+    assert all(data[r[1] : r[1] + r[2]] == r[4] for r in got) and b"".join(r[4] for r in got) == data
+    assert not any(r[6] or r[7] for r in got)
+
+
+def test_files_of_all_archives_are_in_one_order(spark):
+    rows = [(a, m, 0, None, bytearray(f"{a}{m}".encode()), "OK") for a in ("a.zip", "b.zip") for m in ("logs/uds/x.log", "logs/uds/x.log.1", "logs/flash/y.log")]
+    found = spark.createDataFrame(rows, archives.MEMBERS)
+    files = archives.parse_order(archives.inventory(found))
+    got = [(r.archive_path, r.rel_path) for r in files.orderBy("file_seq").collect()]
+    one = ["logs/flash/y.log", "logs/uds/x.log.1", "logs/uds/x.log"]
+    assert got == [(a, m) for a in ("a.zip", "b.zip") for m in one] and "content" not in files.columns
+    assert sorted(r.file_seq for r in files.collect()) == [1, 2, 3, 4, 5, 6]
+    assert archives.read_records(files, found).count() == 6
+
+
 def test_path_rules(spark):
     names = ["logs/uds/a.log.2.gz", "logs/x/y.json", "package_meta.json", "logs/q/a.log"]
     df = spark.createDataFrame([(n,) for n in names], "p string")

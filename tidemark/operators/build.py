@@ -143,13 +143,13 @@ def build(spark: SparkSession, archive_path: str, workspace: str, run_id: str =
     started = datetime.now(timezone.utc)
     found = materialize(archives.read_members(spark, archive_path))
     files = materialize(archives.parse_order(archives.inventory(found)))
-    rows = evidence_rows(archives.read_records(files), files, package_meta(found))
+    rows = evidence_rows(archives.read_records(files, found), files, package_meta(found))
     mined = materialize(finish(rows, run_id))
     write_lines(mined.drop("template"), f"{workspace}/log_lines")
     lines = spark.read.parquet(f"{workspace}/log_lines")
     template_rows(lines, mined.select("template_id", "template")).write.mode("overwrite").parquet(f"{workspace}/templates")
     stats = scores.file_stats(lines)
-    stats.join(files.drop("content", "component"), "file_id").write.mode("overwrite").parquet(f"{workspace}/files")
+    stats.join(files.drop("component"), "file_id").write.mode("overwrite").parquet(f"{workspace}/files")
     parse_error_rows(lines).write.mode("overwrite").parquet(f"{workspace}/parse_errors")
     quality = scores.quality(lines).first().asDict()
     sizes = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes")).first()

@@ -39,7 +39,7 @@ def verify_l2(items: DataFrame, contents: DataFrame) -> DataFrame:
     from tidemark.functions.text import raw_hash
 
     files = contents.select(F.sha2("content", 256).alias("file_sha256"), "content")
-    part = F.substring(F.col("content"), F.col("byte_offset").cast("int") + 1, F.col("byte_len").cast("int"))
+    part = F.substring(F.col("content"), F.col("byte_offset").cast("int") + 1, F.col("byte_len").cast("int"))  # a row's bytes end at 2 GB
     joined = items.join(files, "file_sha256", "left").withColumn("now", raw_hash(part))
     status = F.when(F.col("content").isNull(), "MISSING").when(F.col("now") == F.col("raw_hash"), "OK").otherwise("CHANGED")
     return joined.select("row_hash", status.alias("status"))

@@ -22,6 +22,7 @@ RESPONSE_CODES = {
     "0x37": "requiredTimeDelayNotExpired", "0x71": "transferDataSuspended", "0x72": "generalProgrammingFailure",
     "0x73": "wrongBlockSequenceCounter", "0x78": "responsePending", "0x92": "voltageTooHigh", "0x93": "voltageTooLow",
 }
+# fixed values: words of an aborted campaign
 BAD_WORDS = ["aborted at", "campaign aborted"]
 
 

@@ -1,7 +1,9 @@
 """Log archives: safe unpacking, file inventory, encoding detection and record reading.
 
 Archives are read as binary files, one row each, and opened in Arrow functions: members never touch a disk, and each
-is bounded by the same limits a local unpacker would enforce. Everything after the members' bytes is columns.
+is bounded by the same limits a local unpacker would enforce. An archive is walked twice, first for its limits and names
+and then member by member, so that a task holds the archive and one batch of members. Files are put in order by their
+metadata alone; their bytes are joined back only where records are read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ ENCODINGS = ["utf-8", "gb18030", "utf-16", "latin-1"]
 SAMPLE_BYTES, BINARY_SHARE = 65_536, 0.30
 MAX_LINE_BYTES, MAX_SPAN = 262_144, 200
 CONTINUED = re.compile(r"^\s+at\s|^\s*#\d+\s+0x|^\s*Caused by:|^\s{4,}\S")
+#: bytes of members in a batch
+BATCH_BYTES = 32 << 20
 MEMBERS = "archive string, member string, depth int, mtime timestamp, content binary, status string"
 
 
@@ -105,16 +109,31 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
     """Members of all archives under a path. An unsafe or broken archive gives one row with its reason."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
+    names = ["archive", "member", "depth", "mtime", "content", "status"]
+
+    def opened(name: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for _ in members(name, content):
+                pass
+        except UnsafeArchiveError as e:
+            yield name, "", 0, None, None, f"UNSAFE: {e}"
+        except (zipfile.BadZipFile, tarfile.TarError, EOFError) as e:
+            yield name, "", 0, None, None, f"BROKEN: {e}"
+        else:
+            yield from members(name, content)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["content"]):
-                try:
-                    rows = list(members(name, bytes(content)))
-                except UnsafeArchiveError as e:
-                    rows = [(name, "", 0, None, None, f"UNSAFE: {e}")]
-                except (zipfile.BadZipFile, tarfile.TarError, EOFError) as e:
-                    rows = [(name, "", 0, None, None, f"BROKEN: {e}")]
-                yield pd.DataFrame(rows, columns=["archive", "member", "depth", "mtime", "content", "status"])
+                rows, held = [], 0
+                for row in opened(name, bytes(content)):
+                    rows.append(row)
+                    held += len(row[4] or b"")
+                    if held >= BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
 
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInPandas(run, MEMBERS)
 
@@ -177,7 +196,7 @@ def detect_encoding(data: bytes) -> tuple[str | None, float, bool]:
 
 
 def inventory(found: DataFrame) -> DataFrame:
-    """Files (with content) of readable members: ids in order of archive and path, hash, encoding, component, rotation, alias.
+    """Files of readable members, without their bytes: ids in order of archive and path, hash, encoding, component, rotation, alias.
 
     alias_of is the first file with the same bytes in the same archive. The order is a global one, so ids are dense.
     """
@@ -185,45 +204,76 @@ def inventory(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [detect_encoding(bytes(c)) for c in pdf["content"]]
+            got = [detect_encoding(bytes(c)) for c in pdf["sample"]]
             pdf["encoding"], pdf["encoding_conf"], pdf["is_binary"] = (list(x) for x in zip(*got)) if got else ([], [], [])
-            yield pdf
+            yield pdf.drop(columns="sample")
 
-    rows = found.where("status = 'OK'").select(F.col("archive").alias("archive_path"), F.col("member").alias("rel_path"), F.col("mtime").alias("mtime_utc"), "content")
-    typed = rows.mapInPandas(run, "archive_path string, rel_path string, mtime_utc timestamp, content binary, encoding string, encoding_conf float, is_binary boolean")
-    named = typed.withColumn("file_name", F.element_at(F.split("rel_path", "/"), -1)).select(
-        "*", F.sha2("content", 256).alias("file_sha256"), F.length("content").cast("bigint").alias("size_bytes"),
+    rows = found.where("status = 'OK'").select(
+        F.col("archive").alias("archive_path"), F.col("member").alias("rel_path"), F.col("mtime").alias("mtime_utc"),
+        F.sha2("content", 256).alias("file_sha256"), F.length("content").cast("bigint").alias("size_bytes"),
+        F.substring("content", 1, SAMPLE_BYTES + 1).alias("sample"),
+    )
+    shape = "archive_path string, rel_path string, mtime_utc timestamp, file_sha256 string, size_bytes bigint, encoding string, encoding_conf float, is_binary boolean"
+    named = rows.mapInPandas(run, shape).withColumn("file_name", F.element_at(F.split("rel_path", "/"), -1)).select(
+        "*",
         component(F.col("rel_path"))["component"].alias("component"), component(F.col("rel_path"))["source_rank"].alias("source_rank"),
         rotation(F.col("file_name"))["rotation_group"].alias("rotation_group"), rotation(F.col("file_name"))["rotation_index"].alias("rotation_index"),
         excluded(F.col("rel_path")).alias("excluded"),
     )
     ids = dense_ids(named, [F.asc("archive_path"), F.asc("rel_path")], "file_id").withColumn("file_id", F.col("file_id").cast("int"))
-    first = F.min("file_id").over(Window.partitionBy("archive_path", "file_sha256"))
-    return ids.withColumn("alias_of", F.when(first < F.col("file_id"), first)).withColumn("is_rotated", F.col("rotation_index") > 0)
+    same = ids.groupBy("archive_path", "file_sha256").agg(F.min("file_id").alias("first"))
+    out = ids.join(same, ["archive_path", "file_sha256"])
+    return out.withColumn("alias_of", F.when(F.col("first") < F.col("file_id"), F.col("first"))).drop("first").withColumn("is_rotated", F.col("rotation_index") > 0)
 
 
 def parse_order(files: DataFrame) -> DataFrame:
-    """Files to parse, with file_seq by archive, component, group, falling rotation index and path; no binaries, aliases or excluded ones."""
-    order = Window.partitionBy("archive_path").orderBy("component", "rotation_group", F.desc("rotation_index"), "rel_path")
-    return files.where(~F.col("is_binary") & F.col("alias_of").isNull() & ~F.col("excluded")).withColumn("file_seq", F.row_number().over(order))
+    """Files to parse, with file_seq 1, 2 ... over all archives: by archive, component, group, falling rotation index and path.
+
+    Binaries, aliases and excluded files are left out.
+    """
+    from tidemark.operators.sequence import dense_ids
+
+    kept = files.where(~F.col("is_binary") & F.col("alias_of").isNull() & ~F.col("excluded"))
+    order = [F.asc("archive_path"), F.asc("component"), F.asc("rotation_group"), F.desc("rotation_index"), F.asc("rel_path")]
+    return dense_ids(kept, order, "file_seq").withColumn("file_seq", (F.col("file_seq") + 1).cast("int"))
+
+
+def line_ends(data: bytes, encoding: str) -> tuple[str, bytes]:
+    """The codec that cuts of the data decode by, and its line feed; UTF-16 without a byte order mark is little-endian."""
+    name = encoding.lower().replace("_", "-")
+    if not name.startswith("utf-16"):
+        return encoding, b"\n"
+    big = name == "utf-16-be" or name == "utf-16" and data[:2] == b"\xfe\xff"
+    return ("utf-16-be", b"\x00\n") if big else ("utf-16-le", b"\n\x00")
+
+
+def _next_line(data: bytes, start: int, feed: bytes) -> int:
+    """The end of the line from start on; a line feed of two bytes begins at an even place."""
+    at = data.find(feed, start)
+    while at >= 0 and at % len(feed):
+        at = data.find(feed, at + 1)
+    return at + len(feed) if at >= 0 else len(data)
 
 
 def records(data: bytes, encoding: str) -> Iterator[tuple]:
     """line_no, byte_offset, byte_len, line_span, raw_bytes, text, decode_error, truncated of each record.
 
-    Lines end with a line feed; a continuation line joins the record before it, up to MAX_SPAN lines. Texts are cut at
-    MAX_LINE_BYTES, bytes never.
+    Lines end with a line feed in the file's encoding; offsets, lengths and bytes are those of the file. A continuation line
+    joins the record before it, up to MAX_SPAN lines. Texts are cut at MAX_LINE_BYTES, bytes never.
     """
-    wide = encoding.lower().replace("_", "-").startswith("utf-16")
-    if wide:
-        data = data.decode(encoding, "replace").encode("utf-8")
-        encoding = "utf-8"
+    encoding, feed = line_ends(data, encoding)
+    marks = [feed, feed.replace(b"\n", b"\r")]
     start, number, held = 0, 0, None
     while start < len(data):
-        end = data.find(b"\n", start) + 1 or len(data)
-        raw = data[start:end]
+        end = _next_line(data, start, feed)
+        raw = line = data[start:end]
         number += 1
-        line = raw.rstrip(b"\r\n")
+        if len(feed) == 2 and number == 1 and line[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            line = line[2:]
+        stop = len(line)
+        while line[max(0, stop - len(feed)) : stop] in marks:
+            stop -= len(feed)
+        line = line[:stop]
         cut = line[:MAX_LINE_BYTES]
         try:
             text, bad = cut.decode(encoding), False
@@ -241,8 +291,8 @@ def records(data: bytes, encoding: str) -> Iterator[tuple]:
         yield tuple(held)
 
 
-def read_records(files: DataFrame) -> DataFrame:
-    """Records of files with file_id, content and encoding; a file is read by one task, in batches of 10,000 records."""
+def read_records(files: DataFrame, found: DataFrame) -> DataFrame:
+    """Records of files, whose bytes are those of the members found; a file is read by one task, in batches of 10,000 records."""
     names = ["line_no", "byte_offset", "byte_len", "line_span", "raw_bytes", "text", "decode_error", "truncated"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,4 +307,6 @@ def read_records(files: DataFrame) -> DataFrame:
                 if batch:
                     yield pd.DataFrame(batch, columns=["file_id", *names])
 
-    return files.select("file_id", "content", "encoding").mapInPandas(run, RECORDS)
+    wanted = files.select(F.col("archive_path").alias("archive"), F.col("rel_path").alias("member"), "file_id", "encoding")
+    bodies = found.where("status = 'OK'").select("archive", "member", "content").join(wanted, ["archive", "member"])
+    return bodies.select("file_id", "content", "encoding").mapInPandas(run, RECORDS)
