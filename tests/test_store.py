@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +148,22 @@ def test_percentiles_and_interval(spark):
     assert [tuple(r) for r in scores.nearest_rank(df, ["g"], "v", {"p50": 0.5, "p100": 1.0}).collect()] == [("a", 3.0, 5.0)]
     lo, hi = scores.confidence_interval(10.0, 2.0, 5)
     assert abs(hi - 10 - 2.776445 * 2 / 5**0.5) < 1e-4 and abs(lo + hi - 20) < 1e-9
+
+
+def test_blocks_of_a_hot_file_change_nothing(spark):
+    rnd = random.Random(5)
+    rows, us = [], 10**9
+    for n in range(400):
+        us += rnd.choice([10**6, 3 * 10**6, -10**6, -9 * 10**6, 40 * 10**6])
+        rows.append((rnd.choice([1, 1, 1, 2, None]), n, n % 7, rnd.choice([us, us, None]), rnd.choice(["a", "b", None]), rnd.randint(1, 12), "x" * rnd.randint(0, 9)))
+    df = spark.createDataFrame(rows, "f int, n int, line_id int, us bigint, k string, month int, t string").withColumn("ts_utc", F.timestamp_micros("us")).withColumn("y", F.lit(2024))
+    result = lambda out: sorted(map(str, out.select(*sorted(out.columns)).collect()))
+    for make in (
+        lambda w: sequence.gaps(df, ["f"], "ts_utc", "n", 2, w * 10**6),
+        lambda w: sequence.clock_steps(df, "f", "n", "us", block=w),
+        lambda w: sequence.duplicates(df, "k", ["f", "n"], w),
+        lambda w: sequence.inferred_year(df, "f", "n", "month", "t", "y", w),
+        lambda w: compress.within_budget(df, ["f"], "t", 60, w * 10**6),
+    ):
+        whole = result(make(10**9))
+        assert whole and all(result(make(w)) == whole for w in (3, 50))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import estimated_tokens
+from tidemark.operators.sequence import SHARD_US, with_before
 
 # fixed values: words that keep a row, rows of a template kept, rows of a rare template, quota, rows folded into a list
 KEEP_WORDS = [
@@ -58,13 +59,20 @@ def folds(tiered: DataFrame) -> DataFrame:
     )
 
 
-def within_budget(rows: DataFrame, by: list[str], text: str, budget: int) -> DataFrame:
-    """The rows of each group, in time order, whose tokens together stay within the budget."""
-    order = Window.partitionBy(*by).orderBy(F.asc_nulls_last("ts_utc"), "line_id").rowsBetween(Window.unboundedPreceding, 0)
+def within_budget(rows: DataFrame, by: list[str], text: str, budget: int, shard_us: int = SHARD_US) -> DataFrame:
+    """The rows of each group, in time order, whose tokens together stay within the budget; tokens and spent are added.
+
+    Sums run within days (rows without time are last); days that begin beyond the budget are left out before they are sorted.
+    """
+    last = F.lit(2**62).cast("bigint")
+    counted = rows.withColumn("tokens", estimated_tokens(F.col(text))).withColumn("_block", F.coalesce(F.floor(F.unix_micros("ts_utc") / shard_us), last))
+    begun = with_before(counted, by, F.sum("tokens"), F.sum("_s"), "_spent").withColumn("_spent", F.coalesce("_spent", F.lit(0)))
+    order = Window.partitionBy(*by, "_block").orderBy(F.asc_nulls_last("ts_utc"), "line_id").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.withColumn("tokens", estimated_tokens(F.col(text)))
-        .withColumn("spent", F.sum("tokens").over(order))
+        begun.where(F.col("_spent") <= budget)
+        .withColumn("spent", F.col("_spent") + F.sum("tokens").over(order))
         .where(F.col("spent") <= budget)
+        .drop("_block", "_spent")
     )
 
 

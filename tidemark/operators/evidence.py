@@ -5,9 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.operators.sequence import context_band
 
@@ -18,13 +23,27 @@ CITATION = r"\[\[EV:([0-9a-f]{8,32})\]\]"
 def merkle_roots(df: DataFrame, by: list[str], digest: str, salt: str = "") -> DataFrame:
     """by, root, leaves: sha256 over a group's distinct digests, sorted and joined, and the salt.
 
-    The order of rows doesn't matter. The leaves of one group are joined in one row, as the root is defined over them.
+    The order of rows doesn't matter. The root is defined over all leaves of a group in a row, so one task reads them,
+    one after the other as they come sorted; it holds none of them.
     """
-    leaves = df.where(F.col(digest).isNotNull()).select(*by, digest).distinct()
-    return leaves.groupBy(*by).agg(
-        F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list(digest)), ""), F.lit("|" + salt)), 256).alias("root"),
-        F.count(F.lit(1)).alias("leaves"),
-    )
+    leaves = df.where(F.col(digest).isNotNull()).select(*by, F.col(digest).alias("_leaf")).distinct()
+    schema = T.StructType([*[leaves.schema[c] for c in by], T.StructField("root", T.StringType()), T.StructField("leaves", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(zip(*[c.to_pylist() for c in batch.columns[:-1]]), batch.column(len(by)).to_pylist()))
+        out = []
+        for key, own in groupby(rows, key=lambda r: r[0]):
+            state, n = hashlib.sha256(), 0
+            for _, leaf in own:
+                state.update(leaf.encode())
+                n += 1
+            state.update(f"|{salt}".encode())
+            out.append((*key, state.hexdigest(), n))
+        cols = list(zip(*out)) if out else [()] * len(arrow)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    return leaves.repartition(*by).sortWithinPartitions(*by, "_leaf").mapInArrow(run, schema)
 
 
 def verify_l1(items: DataFrame, lines: DataFrame) -> DataFrame:

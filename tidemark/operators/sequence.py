@@ -2,7 +2,8 @@
 
 A window over a whole table runs in one task. Where the order is global, rows are range-partitioned by the sort keys and
 written to the shared folder; each partition then needs only a count or a last value of the partitions before it, one
-small row each.
+small row each. Orders within a file, component or key are cut into blocks of lines or days in the same way, so that a
+file or key with a third of all rows is many tasks: windows hold a block, and one row a block is chained.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from tidemark.session import materialize
 
 CLOCK_STEP_MS = 5000
 STORM_LINES = 100
+#: lines of a file, and microseconds, that a window holds
+BLOCK_LINES = 50_000
+SHARD_US = 24 * 3600 * 1_000_000
 
 
 def _ranged(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
@@ -53,40 +57,69 @@ def forward_fill(df: DataFrame, order: list[Column], column: str, name: str) ->
     )
 
 
-def gaps(df: DataFrame, by: list[str], ts: str, row_id: str, min_gap_s: float = 30) -> DataFrame:
+def _same(*pairs: tuple[str, str]) -> Column:
+    """Equality of columns, nulls included."""
+    out = F.lit(True)
+    for a, b in pairs:
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
+
+
+def with_before(rows: DataFrame, by: list[str], summary: Column, before: Column, name: str) -> DataFrame:
+    """Adds to rows with a `_block` what `before` (over `_s`, an aggregate of each block) gives of the earlier blocks of the same `by`."""
+    along = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*by, "_block").agg(summary.alias("_s")).select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_block").alias("_b"), before.over(along).alias(name)
+    )
+    on = _same(*[(c, f"_k{i}") for i, c in enumerate(by)], ("_block", "_b"))
+    return rows.join(carried, on).drop("_b", *[f"_k{i}" for i in range(len(by))])
+
+
+def gaps(df: DataFrame, by: list[str], ts: str, row_id: str, min_gap_s: float = 30, shard_us: int = SHARD_US) -> DataFrame:
     """by, gap_from_us, gap_to_us, gap_s, prev_id, next_id: pauses of at least min_gap_s between neighbours in time."""
-    order = Window.partitionBy(*by).orderBy("us", row_id)
-    rows = df.where(F.col(ts).isNotNull()).select(*by, row_id, F.unix_micros(ts).alias("us"))
-    return (
-        rows.withColumn("gap_from_us", F.lag("us").over(order))
-        .withColumn("prev_id", F.lag(row_id).over(order))
-        .withColumn("gap_s", F.round((F.col("us") - F.col("gap_from_us")) / 1_000_000, 3))
-        .where(F.col("us") - F.col("gap_from_us") >= min_gap_s * 1_000_000)
-        .select(*by, "gap_from_us", F.col("us").alias("gap_to_us"), "gap_s", "prev_id", F.col(row_id).alias("next_id"))
+    rows = df.where(F.col(ts).isNotNull()).select(*by, F.col(row_id).alias("_id"), F.unix_micros(ts).alias("_us")).withColumn("_block", F.floor(F.col("_us") / shard_us))
+    order = Window.partitionBy(*by, "_block").orderBy("_us", "_id")
+    inside = rows.select(*by, F.lag("_us").over(order).alias("gap_from_us"), F.col("_us").alias("gap_to_us"), F.lag("_id").over(order).alias("prev_id"), F.col("_id").alias("next_id"))
+    row = F.struct("_us", "_id")
+    ends = rows.groupBy(*by, "_block").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    last = F.lag("last").over(Window.partitionBy(*by).orderBy("_block"))
+    between = ends.withColumn("last", last).select(
+        *by, F.col("last._us").alias("gap_from_us"), F.col("first._us").alias("gap_to_us"), F.col("last._id").alias("prev_id"), F.col("first._id").alias("next_id")
+    )
+    long = F.col("gap_to_us") - F.col("gap_from_us")
+    return inside.union(between).where(long >= min_gap_s * 1_000_000).select(
+        *by, "gap_from_us", "gap_to_us", F.round(long / 1_000_000, 3).alias("gap_s"), "prev_id", "next_id"
     )
 
 
-def clock_steps(df: DataFrame, file: str, line_no: str, us: str, step_ms: int = CLOCK_STEP_MS) -> DataFrame:
-    """Adds resolved_us (own or inherited), derived, gap_ms, clock_epoch and flags, along the lines of each file.
+def clock_steps(df: DataFrame, file: str, line_no: str, us: str, step_ms: int = CLOCK_STEP_MS, tie: str | None = None, block: int = BLOCK_LINES) -> DataFrame:
+    """Adds resolved_us (own or inherited), derived, gap_ms, clock_epoch and flags, along the lines (then `tie`) of each file.
 
     A line without time inherits the last one before it in its file. gap_ms is cut towards zero. A step back of more
     than step_ms begins a new epoch (CLOCK_JUMP); any step back is OUT_OF_ORDER.
     """
-    order = Window.partitionBy(file).orderBy(line_no)
+    place = [line_no, *([tie] if tie else [])]
+    order = Window.partitionBy(file, "_block").orderBy(*place)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    delta = F.col("resolved_us") - F.lag("resolved_us").over(order)
-    return (
-        df.withColumn("resolved_us", F.last(us, ignorenulls=True).over(so_far))
+    rows = df.withColumn("_block", F.floor(F.col(line_no) / block))
+    last_known = F.max_by(us, F.when(F.col(us).isNotNull(), F.struct(*place)))
+    rows = with_before(rows, [file], last_known, F.last("_s", ignorenulls=True), "_carry")
+    stepped = materialize(
+        rows.withColumn("resolved_us", F.coalesce(F.last(us, ignorenulls=True).over(so_far), "_carry"))
         .withColumn("derived", F.col(us).isNull() & F.col("resolved_us").isNotNull())
-        .withColumn("_delta", delta)
+        .withColumn("_delta", F.col("resolved_us") - F.coalesce(F.lag("resolved_us").over(order), "_carry"))
         .withColumn("gap_ms", F.when(F.col("_delta").isNotNull(), F.sign("_delta").cast("bigint") * F.floor(F.abs("_delta") / 1000)))
-        .withColumn("_jump", F.coalesce(F.col("_delta") < -step_ms * 1000, F.lit(False)))
-        .withColumn("clock_epoch", F.sum(F.col("_jump").cast("int")).over(so_far).cast("int"))
+        .withColumn("_jump", F.coalesce(F.col("_delta") < -step_ms * 1000, F.lit(False)).cast("int"))
+        .drop("_carry")
+    )
+    return (
+        with_before(stepped, [file], F.sum("_jump"), F.sum("_s"), "_jumps")
+        .withColumn("clock_epoch", (F.coalesce("_jumps", F.lit(0)) + F.sum("_jump").over(so_far)).cast("int"))
         .withColumn(
             "flags",
-            F.array_compact(F.array(F.when(F.col("_jump"), "CLOCK_JUMP"), F.when(F.col("_delta") < 0, "OUT_OF_ORDER"))),
+            F.array_compact(F.array(F.when(F.col("_jump") == 1, "CLOCK_JUMP"), F.when(F.col("_delta") < 0, "OUT_OF_ORDER"))),
         )
-        .drop("_delta", "_jump")
+        .drop("_delta", "_jump", "_jumps", "_block")
     )
 
 
@@ -104,26 +137,39 @@ def time_confidence(kind: Column, has_tz: Column, has_year: Column, digits: Colu
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (base - less) * factor)), 3)
 
 
-def inferred_year(df: DataFrame, file: str, line_no: str, month: str, day: str, start_year: str) -> DataFrame:
+def inferred_year(df: DataFrame, file: str, line_no: str, month: str, day: str, start_year: str, block: int = BLOCK_LINES) -> DataFrame:
     """Adds year to stamps without one: it grows where, in a file, the date steps back by six months or more.
 
     Rows with a null month take no part and have a null year.
     """
-    dated = df.where(F.col(month).isNotNull())
-    order = Window.partitionBy(file).orderBy(line_no)
-    before = F.lag(month).over(order)
-    rolls = F.coalesce((before - F.col(month) >= 6), F.lit(False)).cast("int")
-    out = dated.withColumn("_roll", rolls).withColumn(
-        "year", (F.col(start_year) + F.sum("_roll").over(order.rowsBetween(Window.unboundedPreceding, 0))).cast("int")
-    ).drop("_roll")
-    return out.unionByName(df.where(F.col(month).isNull()).withColumn("year", F.lit(None).cast("int")))
-
-
-def duplicates(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Adds dup_rank (0, 1 ... in the given order) and dup_count of each key."""
-    by = Window.partitionBy(key)
-    return df.withColumn("dup_rank", (F.row_number().over(by.orderBy(*order)) - 1).cast("int")).withColumn(
-        "dup_count", F.count(F.lit(1)).over(by).cast("int")
+    dated = df.where(F.col(month).isNotNull()).withColumn("_block", F.floor(F.col(line_no) / block))
+    order = Window.partitionBy(file, "_block").orderBy(line_no)
+    carried = with_before(dated, [file], F.max_by(month, line_no), F.last("_s"), "_carry")
+    before = F.coalesce(F.lag(month).over(order), "_carry")
+    rolled = materialize(carried.withColumn("_roll", F.coalesce((before - F.col(month) >= 6), F.lit(False)).cast("int")).drop("_carry"))
+    rolls = F.coalesce("_rolls", F.lit(0)) + F.sum("_roll").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    out = with_before(rolled, [file], F.sum("_roll"), F.sum("_s"), "_rolls").withColumn("year", (F.col(start_year) + rolls).cast("int"))
+    return out.drop("_roll", "_rolls", "_block").unionByName(df.where(F.col(month).isNull()).withColumn("year", F.lit(None).cast("int")))
+
+
+def duplicates(df: DataFrame, key: str, order: list[str], block: int = BLOCK_LINES) -> DataFrame:
+    """Adds dup_rank (0, 1 ... in the given order) and dup_count of each key; the second column of the order, if any, is a number.
+
+    A key is ranked within blocks (the first column of the order and lines of the second) and by the counts of the blocks before.
+    """
+    part = F.struct(F.col(order[0]).alias("a"), *([F.floor(F.col(order[1]) / block).alias("b")] if len(order) > 1 else []))
+    rows = df.withColumn("_block", part)
+    by = Window.partitionBy("_key")
+    counts = rows.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_key", "_b", F.sum("_n").over(by).alias("_all"),
+        F.coalesce(F.sum("_n").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+    )
+    place = F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order)) - 1
+    return (
+        rows.join(counts, _same((key, "_key"), ("_block", "_b")))
+        .withColumn("dup_rank", (F.col("_before") + place).cast("int"))
+        .withColumn("dup_count", F.col("_all").cast("int"))
+        .drop("_key", "_b", "_all", "_before", "_block")
     )
 
 

@@ -218,8 +218,8 @@ c AS (SELECT *, resolved_us - lag(resolved_us) OVER (PARTITION BY file_id ORDER
 CAST(sum(CASE WHEN delta < -5000000 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line_no, line_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS clock_epoch,
 concat_ws(',', CASE WHEN delta < -5000000 THEN 'CLOCK_JUMP' END, CASE WHEN delta < 0 THEN 'OUT_OF_ORDER' END) AS flags FROM c""")
 def clock_epochs(s, d):
-    rows = _once(s, d).select("line_id", "file_id", F.struct("line_no", "line_id").alias("place"), F.unix_micros("ts_utc").alias("us"))
-    out = sequence.clock_steps(rows, "file_id", "place", "us")
+    rows = _once(s, d).select("line_id", "file_id", "line_no", F.unix_micros("ts_utc").alias("us"))
+    out = sequence.clock_steps(rows, "file_id", "line_no", "us", tie="line_id")
     return out.select("line_id", "resolved_us", "derived", "gap_ms", "clock_epoch", F.array_join("flags", ",").alias("flags"))
 
 
