@@ -14,7 +14,7 @@ def test_carriage_returns_are_parsed(spark, small, tmp_path):
     assert out == [("glog_style", "ram test failed")] * 3 + [("glog_style", "ram test failed a\rb")]
     lines = spark.read.parquet(f"{small}/log_lines.parquet").limit(20)
     lines.withColumn("raw_line", F.concat("raw_line", F.lit("\r"))).write.parquet(f"file://{tmp_path}/log_lines.parquet")
-    for name in ("parsed_fields", "parser_registry_all"):
+    for name in ("parsed_fields", "parser_registry"):
         assert registry.QUERIES[name](spark, f"file://{tmp_path}").count() == 20
 
 
@@ -22,5 +22,5 @@ def test_quoted_values(spark, tmp_path):
     messages = ['a="x, y" b=\'z w\' c=1', "d='9',e=\"q r\"; f=g", "h=2", None]
     df = spark.createDataFrame(list(enumerate(messages)), "line_id int, message string")
     df.write.parquet(f"file://{tmp_path}/log_lines.parquet")
-    got = {r.line_id: r.pairs for r in registry.QUERIES["key_values_all"](spark, f"file://{tmp_path}").collect()}
+    got = {r.line_id: r.pairs for r in registry.QUERIES["key_values"](spark, f"file://{tmp_path}").collect()}
     assert got == {0: "a=x, y b=z w c=1", 1: "d=9 e=q r f=g", 2: "h=2"}

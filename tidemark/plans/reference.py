@@ -276,29 +276,22 @@ def phase_tags(s, d):
     return _lines(s, d).select("line_id", text.phase(F.col("raw_line")).alias("phase"))
 
 
-@query(r"""SELECT line_id, nullif(regexp_extract(message, '\becu(?:_id)?\s*[=:]\s*(0x[0-9A-Fa-f]{1,4})\b', 1), '') AS ecu_id,
-nullif(regexp_extract(message, '\bblock[= ](\d+)\b', 1), '') AS block FROM log_lines WHERE message IS NOT NULL""")
-def business_fields(s, d):
-    got = text.business(F.col("message"))
-    return _lines(s, d).where(F.col("message").isNotNull()).select("line_id", got["ecu_id"].alias("ecu_id"), got["block"].alias("block"))
+def _business_sql() -> str:
+    fields = ", ".join(f"nullif(regexp_extract(message, '{pattern}', 1), '') AS {name}" for name, pattern in text.BUSINESS.items())
+    return f"SELECT line_id, {fields} FROM log_lines WHERE message IS NOT NULL"
 
 
-@query(r"""SELECT line_id, array_to_string(list_sort(list_distinct(regexp_extract_all(message, '([A-Za-z_][\w.\-]{0,40})=([^\s,;]+)', 0))), ' ') AS pairs
-FROM log_lines WHERE message IS NOT NULL AND NOT regexp_matches(message, '["'']')""")
-def key_values(s, d):
-    return _key_values(_lines(s, d).where(~F.col("message").rlike("[\"']")))
+@query(_business_sql())
+def business_fields(s, d):
+    got = text.business(F.col("message"))
+    return _lines(s, d).where(F.col("message").isNotNull()).select("line_id", *[c.alias(n) for n, c in got.items()])
 
 
 @query(r"""SELECT line_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(message, '([A-Za-z_][\w.\-]{0,40})=("[^"]*"|''[^'']*''|[^\s,;]+)', 0),
 lambda p: split_part(p, '=', 1) || '=' || trim(substr(p, strpos(p, '=') + 1), '"''')))), ' ') AS pairs FROM log_lines WHERE message IS NOT NULL""")
-def key_values_all(s, d):
-    """Of every message, those with quoted values too."""
-    return _key_values(_lines(s, d))
-
-
-def _key_values(rows: DataFrame) -> DataFrame:
+def key_values(s, d):
     pairs = F.transform(F.map_entries(text.key_values(F.col("message"))), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return rows.where(F.col("message").isNotNull()).select("line_id", F.array_join(F.array_sort(pairs), " ").alias("pairs"))
+    return _lines(s, d).where(F.col("message").isNotNull()).select("line_id", F.array_join(F.array_sort(pairs), " ").alias("pairs"))
 
 
 @query("""SELECT doc_id, CAST(ceil(w / CAST(1.5 AS DOUBLE) + (n - w) / CAST(4 AS DOUBLE)) AS BIGINT) AS tokens FROM (SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -328,9 +321,10 @@ def search_tokens(s, d):
     return _once(s, d).select("line_id", text.search_tokens(F.coalesce("message", "raw_line")).alias("tokens"))
 
 
-@query("""SELECT archive, 'VIN_****' AS short, left(vin, 4) || '****' || right(vin, 4) AS masked FROM packages""")
+@query("""SELECT archive, CASE WHEN coalesce(model, '') = '' THEN '' WHEN length(model) < 12 THEN '****' ELSE left(model, 4) || '****' || right(model, 4) END AS short,
+CASE WHEN coalesce(vin, '') = '' THEN '' WHEN length(vin) < 12 THEN '****' ELSE left(vin, 4) || '****' || right(vin, 4) END AS masked FROM packages""")
 def masked_secrets(s, d):
-    return table(s, d, "packages").select("archive", F.lit("VIN_****").alias("short"), text.masked_secret(F.col("vin")).alias("masked"))
+    return table(s, d, "packages").select("archive", text.masked_secret(F.col("model")).alias("short"), text.masked_secret(F.col("vin")).alias("masked"))
 
 
 def _parser_sql() -> str:
@@ -339,7 +333,7 @@ def _parser_sql() -> str:
         if i == 7:
             whens.append("WHEN regexp_matches(line, '^\\s*\\{.*\\}\\s*$') AND json_valid(line) THEN 'json_line'")
         whens.append(f"WHEN regexp_matches(line, '{pattern}') THEN '{name}'")
-    return f"SELECT line_id, CASE {' '.join(whens)} ELSE 'fallback_raw' END AS parser FROM (SELECT line_id, split_part(raw_line, chr(10), 1) AS line FROM log_lines WHERE NOT regexp_matches(raw_line, chr(13)))"
+    return f"SELECT line_id, CASE {' '.join(whens)} ELSE 'fallback_raw' END AS parser FROM (SELECT line_id, rtrim(split_part(raw_line, chr(10), 1), chr(13)) AS line FROM log_lines)"
 
 
 def _parsed(s, d) -> DataFrame:
@@ -350,12 +344,6 @@ def _parsed(s, d) -> DataFrame:
 
 @query(_parser_sql())
 def parser_registry(s, d):
-    return _parsed(s, d).where(~F.col("raw_line").rlike("\r")).select("line_id", "parser")
-
-
-@query(_parser_sql().replace(" WHERE NOT regexp_matches(raw_line, chr(13))", "").replace("split_part(raw_line, chr(10), 1)", "rtrim(split_part(raw_line, chr(10), 1), chr(13))"))
-def parser_registry_all(s, d):
-    """Of every line, those with carriage returns too."""
     return _parsed(s, d).select("line_id", "parser")
 
 
@@ -483,35 +471,19 @@ def _tiered(s, d) -> DataFrame:
 
 _WORDS = " OR ".join(f"contains(lower(raw_line), '{w}')" for w in compress.KEEP_WORDS)
 _TIERS = f"""(WITH a AS (SELECT l.*, t.occurrences, CASE WHEN coalesce(level_norm IN ('ERROR', 'FATAL') OR {_WORDS}, FALSE) THEN 3
-WHEN t.occurrences BETWEEN 1 AND 5 THEN 2 ELSE 1 END AS tier FROM {_ONCE} l LEFT JOIN templates t USING (template_id) WHERE template_id IS NOT NULL),
+WHEN t.occurrences BETWEEN 1 AND 5 THEN 2 ELSE 1 END AS tier FROM {_ONCE} l LEFT JOIN templates t USING (template_id)),
 b AS (SELECT *, row_number() OVER w AS first, lead(1) OVER w IS NULL AS last FROM a WINDOW w AS (PARTITION BY template_id, tier ORDER BY ts_utc NULLS LAST, line_id))
 SELECT *, CASE tier WHEN 3 THEN first < 50 OR last WHEN 2 THEN TRUE ELSE first <= 3 END AS keep FROM b)"""
 
 
 @query(f"SELECT line_id, tier, keep FROM {_TIERS}")
 def compress_tiers(s, d):
-    return _tiered(s, d).where(F.col("template_id").isNotNull()).select("line_id", "tier", "keep")
+    return _tiered(s, d).select("line_id", "tier", "keep")
 
 
 @query(f"""SELECT tier, template_id, count(*) AS folded, min(epoch_us(ts_utc)) AS first_us, max(epoch_us(ts_utc)) AS last_us,
 coalesce(array_to_string(list_sort(list(DISTINCT component)), ','), '') AS components FROM {_TIERS} WHERE NOT keep GROUP BY 1, 2""")
 def compress_folds(s, d):
-    return compress.folds(_tiered(s, d).where(F.col("template_id").isNotNull()))
-
-
-# the same of every line: those without template_id are a group of their own
-
-_TIERS_ALL = _TIERS.replace(" WHERE template_id IS NOT NULL", "")
-
-
-@query(f"SELECT line_id, tier, keep FROM {_TIERS_ALL}")
-def compress_tiers_all(s, d):
-    return _tiered(s, d).select("line_id", "tier", "keep")
-
-
-@query(f"""SELECT tier, template_id, count(*) AS folded, min(epoch_us(ts_utc)) AS first_us, max(epoch_us(ts_utc)) AS last_us,
-coalesce(array_to_string(list_sort(list(DISTINCT component)), ','), '') AS components FROM {_TIERS_ALL} WHERE NOT keep GROUP BY 1, 2""")
-def compress_folds_all(s, d):
     return compress.folds(_tiered(s, d))
 
 
