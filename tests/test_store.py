@@ -95,7 +95,25 @@ def test_citations(spark):
     report = "The sector failed at once. [[EV:00ff00ff]] Later it was retried without any luck. [[EV:deadbeef]][[EV:00ff00ff]]"
     r = spark.range(1).select(evidence.citations(F.lit(report)), evidence.citation_coverage(F.lit(report))).first()
     assert r[0] == ["00ff00ff", "deadbeef"] and 0 < r[1] <= 1
-    assert evidence.strip_dangling(report, {"deadbeef"}).count("[[EV:") == 2
+    marked = evidence.mark_dangling(report, {"deadbeef": "NOT_FOUND_IN_DB"})
+    assert marked.count("[[EV:") == 3 and f"[[EV:deadbeef{evidence.FAILED}NOT_FOUND_IN_DB]]" in marked and marked.count("[[EV:00ff00ff]]") == 2
+    listed = F.lit(report + '\n<!-- citations: ["00ff00ff", "0123456789abcdef"] -->')
+    r = spark.range(1).select(evidence.citations(listed), evidence.cites_enough(listed, F.lit(6), 0.5), evidence.cites_enough(listed, F.lit(7), 0.5)).first()
+    assert r[0] == ["00ff00ff", "deadbeef", "0123456789abcdef"] and r[1] and not r[2]
+    heading = spark.range(1).select(evidence.citation_coverage(F.lit("# Title\n---\n"))).first()[0]
+    assert heading == 1.0
+
+
+def test_citations_resolve_live_then_from_the_snapshot(spark, small):
+    lines = table(spark, small, "log_lines")
+    hashes = [r.row_hash for r in lines.where("level_num >= 40 AND row_hash IS NOT NULL").select("row_hash").distinct().orderBy("row_hash").limit(6).collect()]
+    cited = spark.createDataFrame([(h,) for h in [*hashes, "00000000"]], "row_hash string")
+    kept = evidence.freeze(lines, cited, 2)
+    assert kept.where("resolvable").count() == 6 and kept.where("NOT resolvable").count() == 1
+    assert all(any(c.is_anchor for c in r.context) and len({c.line_no for c in r.context}) <= 5 for r in kept.where("resolvable").collect())
+    left = lines.where(~F.col("row_hash").isin(hashes[:2]))
+    got = {r.row_hash: (r.source, r.context is not None) for r in evidence.resolve_citations(cited, left, kept).collect()}
+    assert got == {h: ("snapshot" if h in hashes[:2] else "live", True) for h in hashes} | {"00000000": ("none", False)}
 
 
 def test_levels_of_verification(spark):

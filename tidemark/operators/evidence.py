@@ -17,7 +17,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidemark.operators.sequence import context_band
 
 ROLES = {"SUPPORT", "REFUTE", "CONTEXT", "ROOT_CAUSE", "TRIGGER", "CONSEQUENCE"}
-CITATION = r"\[\[EV:([0-9a-f]{8,32})\]\]"
+# fixed values: citations, a report's list of them at its end, headings and rules, the mark of a citation that fails
+CITATION = r"\[\[EV:([0-9a-fA-F]{8,32})\]\]"
+TRAILER = r"<!--\s*citations:\s*(\[[^\]]*\])\s*-->"
+NO_SENTENCE = r"^\s*#{1,6}\s|^\s*[-*_]{3,}\s*$"
+FAILED = "｜⚠引用校验失败:"
 
 
 def merkle_roots(df: DataFrame, by: list[str], digest: str, salt: str = "") -> DataFrame:
@@ -65,34 +69,76 @@ def verify_l2(items: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def citations(text: Column) -> Column:
-    """Hashes cited in a report, each once in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)))
+    """Hashes cited in a report, each once in order of appearance, then those that only its list at the end names."""
+    listed = F.coalesce(F.from_json(F.nullif(F.regexp_extract(text, TRAILER, 1), F.lit("")), "array<string>"), F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)), F.array_compact(listed)))
 
 
 def sentences(text: Column) -> Column:
-    """Sentences of at least eight characters besides citations."""
-    parts = F.split(text, r"(?<=[。！？!?\n])|(?<=\.)\s")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(F.regexp_replace(s, CITATION, "")) >= 8)
+    """What stands between full stops, question and exclamation marks and line feeds, without headings and rules."""
+    parts = F.transform(F.split(text, r"[。！？.!?\n]+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    return F.filter(parts, lambda s: (s != "") & ~s.rlike(NO_SENTENCE))
 
 
 def citation_coverage(text: Column) -> Column:
     """Share of sentences with a citation; 1 for a text without sentences."""
     all_ = sentences(text)
     cited = F.filter(all_, lambda s: s.rlike(CITATION))
-    return F.when(F.size(all_) == 0, 1.0).otherwise(F.size(cited) / F.size(all_))
+    return F.when(F.size(all_) == 0, 1.0).otherwise(F.round(F.size(cited) / F.size(all_), 4))
+
+
+def cites_enough(text: Column, chain: Column, least: float) -> Column:
+    """Whether a report cites at least this share of its evidence chain's length, rounded up; true for an empty chain."""
+    return (chain <= 0) | (F.size(citations(text)) >= F.ceil(chain * F.lit(least)))
 
 
 def dangling(cited: DataFrame, pool: DataFrame, lines: DataFrame, key: str = "row_hash") -> DataFrame:
-    """key, reason: cited hashes that are in no line (NOT_IN_DATA) or not in the evidence (NOT_IN_EVIDENCE)."""
-    absent = cited.select(key).distinct().join(lines.select(key), key, "left_anti").withColumn("reason", F.lit("NOT_IN_DATA"))
-    loose = (
-        cited.select(key).distinct().join(lines.select(key), key, "left_semi").join(pool.select(key), key, "left_anti").withColumn("reason", F.lit("NOT_IN_EVIDENCE"))
+    """key, reason of cited keys that fail: outside the evidence (known in the data or not), or in the evidence but not in the data."""
+    marked = (
+        cited.where(F.col(key).isNotNull()).select(key).distinct()
+        .join(pool.select(key, F.lit(True).alias("_chosen")).distinct(), key, "left")
+        .join(lines.select(key, F.lit(True).alias("_known")).distinct(), key, "left")
     )
-    return absent.union(loose)
+    chosen, known = F.col("_chosen").isNotNull(), F.col("_known").isNotNull()
+    reason = F.when(~chosen & known, "NOT_IN_EVIDENCE_SET").when(~chosen, "NOT_IN_DB_AND_NOT_IN_EVIDENCE").when(~known, "NOT_FOUND_IN_DB")
+    return marked.select(key, reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def mark_dangling(text: str, reasons: dict[str, str]) -> str:
+    """Citations that fail stay visible, with the reason."""
+    return re.sub(CITATION, lambda m: f"[[EV:{m[1]}{FAILED}{reasons[m[1]]}]]" if m[1] in reasons else m[0], text)
 
 
-def strip_dangling(text: str, bad: set[str]) -> str:
-    return re.sub(CITATION, lambda m: "" if m[1] in bad else m[0], text)
+#: columns of a line that a snapshot keeps
+KEPT = ["line_id", "ts_utc", "ts_kind", "ts_confidence", "component", "level_norm", "ota_phase", "file_path", "line_no", "raw_hash", "byte_offset", "byte_len"]
+
+
+def freeze(lines: DataFrame, cited: DataFrame, context: int = 5) -> DataFrame:
+    """A snapshot of cited rows (row_hash): row_hash, resolvable, KEPT and context, the lines of the file around it.
+
+    context is an array of line_no, raw_line and is_anchor in line order. Hashes that no line has are kept as not resolvable; of
+    lines with one hash, that with the smallest line_id is meant.
+    """
+    wanted = cited.select("row_hash").where(F.col("row_hash").isNotNull()).distinct()
+    rows = lines.join(wanted, "row_hash", "left_semi")
+    anchors = rows.groupBy("row_hash").agg(F.min_by(F.struct("file_id", *KEPT), "line_id").alias("a")).select("row_hash", "a.*")
+    band = context_band(lines.dropDuplicates(["line_id"]).select("file_id", "line_no", "line_id", "raw_line"), anchors, "file_id", "line_no", "line_id", context, context)
+    around = band.groupBy(F.col("anchor_id").alias("line_id")).agg(F.array_sort(F.collect_set(F.struct("line_no", "raw_line", "is_anchor"))).alias("context"))
+    found = anchors.drop("file_id").join(around, "line_id", "left").withColumn("resolvable", F.lit(True))
+    return wanted.join(found, "row_hash", "left").withColumn("resolvable", F.coalesce("resolvable", F.lit(False))).select("row_hash", "resolvable", *KEPT, "context")
+
+
+def resolve_citations(cited: DataFrame, lines: DataFrame, snapshot: DataFrame, context: int = 50) -> DataFrame:
+    """As freeze, with source: live if a line has the hash, else snapshot if that could resolve it, else none."""
+    live = freeze(lines, cited, context).withColumn("source", F.lit("live"))
+    kept = snapshot.where("resolvable").join(live.where("NOT resolvable").select("row_hash"), "row_hash", "left_semi").withColumn("source", F.lit("snapshot"))
+    none = live.where("NOT resolvable").join(kept.select("row_hash"), "row_hash", "left_anti").withColumn("source", F.lit("none"))
+    return live.where("resolvable").unionByName(kept.select(live.columns)).unionByName(none)
+
+
+def unseen(batch: DataFrame, seen: DataFrame, key: str = "row_hash") -> DataFrame:
+    """The rows of a round whose key no earlier round had, each key once."""
+    return batch.where(F.col(key).isNotNull()).dropDuplicates([key]).join(seen.select(key), key, "left_anti")
 
 
 def canonical_json(value) -> str:

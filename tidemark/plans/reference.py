@@ -455,13 +455,44 @@ def verify_l1(s, d):
 
 @query(f"""WITH cited AS (SELECT DISTINCT template_id AS k FROM log_lines WHERE template_id IS NOT NULL UNION SELECT template_id + 100000 FROM templates),
 pool AS (SELECT DISTINCT template_id AS k FROM templates WHERE is_error_like)
-SELECT k, CASE WHEN k IN (SELECT template_id FROM templates) THEN 'NOT_IN_EVIDENCE' ELSE 'NOT_IN_DATA' END AS reason FROM cited WHERE k NOT IN (SELECT k FROM pool)""")
+SELECT k, CASE WHEN k IN (SELECT template_id FROM templates) THEN 'NOT_IN_EVIDENCE_SET' ELSE 'NOT_IN_DB_AND_NOT_IN_EVIDENCE' END AS reason FROM cited WHERE k NOT IN (SELECT k FROM pool)""")
 def dangling_keys(s, d):
     known = table(s, d, "templates")
     cited = _lines(s, d).where("template_id IS NOT NULL").select(F.col("template_id").alias("k")).union(known.select((F.col("template_id") + 100000).alias("k")))
     return evidence.dangling(cited, known.where("is_error_like").select(F.col("template_id").alias("k")), known.select(F.col("template_id").alias("k")), "k")
 
 
+@query(r"""WITH t AS (SELECT doc_id, text, regexp_replace(text, '[0-9a-f]{8}', '[[EV:\0]]', 'g') AS cited FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, cited, trim(p, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS part FROM (SELECT doc_id, cited, unnest(regexp_split_to_array(cited, '[。！？.!?\n]+')) AS p FROM t))
+SELECT doc_id, any_value(len(list_distinct(regexp_extract_all(cited, '\[\[EV:([0-9a-fA-F]{8,32})\]\]', 1)))) AS cited,
+coalesce(round(avg(CASE WHEN regexp_matches(part, '\[\[EV:[0-9a-fA-F]{8,32}\]\]') THEN CAST(1 AS DOUBLE) ELSE 0 END) FILTER (regexp_replace(part, '[\s\p{Z}]', '', 'g') <> ''
+AND NOT regexp_matches(part, '^\s*#{1,6}\s|^\s*[-*_]{3,}\s*$')), 4), 1) AS coverage FROM s GROUP BY 1""")
+def citation_coverage(s, d):
+    """Documents as reports: every run of eight hexadecimal digits is taken for a citation."""
+    docs = table(s, d, "documents").where("text IS NOT NULL").withColumn("cited", F.regexp_replace("text", "([0-9a-f]{8})", "[[EV:$1]]"))
+    return docs.select("doc_id", F.size(evidence.citations(F.col("cited"))).cast("bigint").alias("cited"), evidence.citation_coverage(F.col("cited")).alias("coverage"))
+
+
+@query(f"""WITH e AS (SELECT row_hash, min(line_id) AS line_id FROM log_lines WHERE level_num >= 50 AND row_hash IS NOT NULL GROUP BY 1),
+a AS (SELECT e.row_hash, l.file_id, l.line_no FROM e JOIN {_ONCE} l USING (line_id)),
+c AS (SELECT a.row_hash, count(*) AS lines FROM a JOIN (SELECT DISTINCT file_id, line_no, raw_line FROM log_lines) l ON l.file_id = a.file_id AND l.line_no BETWEEN a.line_no - 5 AND a.line_no + 5 GROUP BY 1)
+SELECT row_hash, line_no, coalesce(c.lines, 0) AS lines FROM a LEFT JOIN c USING (row_hash)""")
+def evidence_snapshot(s, d):
+    lines = _lines(s, d)
+    kept = evidence.freeze(lines, lines.where("level_num >= 50"))
+    return kept.select("row_hash", "line_no", F.coalesce(F.size("context"), F.lit(0)).cast("bigint").alias("lines"))
+
+
+@query(f"""SELECT run_id, row_hash FROM (SELECT run_id, row_hash, min(run_id) OVER (PARTITION BY row_hash) AS first FROM (SELECT DISTINCT run_id, row_hash FROM log_lines
+WHERE level_num >= 50 AND row_hash IS NOT NULL)) WHERE first = run_id AND run_id > (SELECT min(run_id) FROM log_lines)""")
+def unseen_errors(s, d):
+    """Fatal lines of all runs but the first that the runs before hadn't."""
+    rows = _lines(s, d).where("level_num >= 50 AND row_hash IS NOT NULL").groupBy("row_hash").agg(F.min("run_id").alias("run_id"))
+    first = _lines(s, d).agg(F.min("run_id").alias("first"))
+    before = rows.join(F.broadcast(first), F.col("run_id") == F.col("first"), "left_semi")
+    return evidence.unseen(rows, before).select("run_id", "row_hash")
+
+
 # ---- compression
 
 def _tiered(s, d) -> DataFrame:
