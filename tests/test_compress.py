@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import compress
 from tidemark.plans import registry
+from tidemark.session import table
 
 
 def test_tiers_of_hot_and_missing_templates(spark):
@@ -26,8 +27,23 @@ def test_tiers_of_hot_and_missing_templates(spark):
 
 def test_every_line_is_kept_or_folded(spark, small):
     lines = spark.read.parquet(f"{small}/log_lines.parquet").select("line_id", "template_id").distinct()
-    tiers = registry.QUERIES["compress_tiers_all"](spark, small)
-    folded = registry.QUERIES["compress_folds_all"](spark, small)
+    tiers = registry.QUERIES["compress_tiers"](spark, small)
+    folded = registry.QUERIES["compress_folds"](spark, small)
     assert tiers.count() == lines.count() > lines.where("template_id IS NOT NULL").count()
     assert tiers.where("keep").count() + folded.agg(F.sum("folded")).first()[0] == lines.count()
     assert folded.where("template_id IS NULL").count() > 0
+
+
+def test_compress_by_tiers_then_by_windows(spark, small):
+    lines = table(spark, small, "log_lines").dropDuplicates(["line_id"])
+    rows = lines.join(table(spark, small, "templates").select("template_id", "occurrences"), "template_id", "left")
+    wide = compress.compress(rows, 10**9)
+    assert not wide.trace["slide_window_applied"] and wide.windows.count() == 0
+    assert wide.kept.count() == wide.trace["kept_rows"] and wide.trace["kept_rows"] + wide.trace["folded_total"] == wide.trace["input_rows"] == lines.count()
+    tight = compress.compress(rows, 400)
+    assert tight.trace["slide_window_applied"] and tight.trace["tokens_after"] <= 400 and tight.trace["tokens_before"] == wide.trace["tokens_before"]
+    kept = tight.kept.collect()
+    assert kept and {r.level_norm for r in kept} <= {"ERROR", "FATAL"}
+    assert len(kept) + tight.windows.agg(F.sum("lines")).first()[0] == wide.trace["kept_rows"]
+    empty = compress.compress(rows.limit(0), 10)
+    assert empty.kept.count() == 0 and empty.trace["compression_ratio"] == 1.0

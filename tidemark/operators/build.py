@@ -149,7 +149,8 @@ def build(spark: SparkSession, archive_path: str, workspace: str, run_id: str =
     lines = spark.read.parquet(f"{workspace}/log_lines")
     template_rows(lines, mined.select("template_id", "template")).write.mode("overwrite").parquet(f"{workspace}/templates")
     stats = scores.file_stats(lines)
-    stats.join(files.drop("component"), "file_id").write.mode("overwrite").parquet(f"{workspace}/files")
+    named = stats.withColumnsRenamed({"records": "record_count", "lines": "line_count"})
+    named.join(files.drop("component"), "file_id").write.mode("overwrite").parquet(f"{workspace}/files")
     parse_error_rows(lines).write.mode("overwrite").parquet(f"{workspace}/parse_errors")
     quality = scores.quality(lines).first().asDict()
     sizes = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes")).first()
@@ -159,7 +160,7 @@ def build(spark: SparkSession, archive_path: str, workspace: str, run_id: str =
         quality["rows"], quality["unparsed"], "", tenant,
     )
     spark.createDataFrame([run], RUNS).write.mode("overwrite").parquet(f"{workspace}/runs")
-    return {"run_id": run_id, **quality, "checks": {r.check: r.passed for r in scores.checks(lines).collect()}}
+    return {"run_id": run_id, **quality, "checks": {r.check: r.passed for r in scores.checks(lines, spark.read.parquet(f"{workspace}/files")).collect()}}
 
 
 def write_manifest(manifest: dict, path: str) -> None:

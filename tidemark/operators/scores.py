@@ -22,11 +22,17 @@ def quality(lines: DataFrame) -> DataFrame:
         F.countDistinct("template_id").alias("templates"),
         F.count_if(F.array_contains("anomaly_flags", "OUT_OF_ORDER")).alias("out_of_order"),
         F.count_if(F.array_contains("anomaly_flags", "MULTILINE")).alias("multiline"),
+        F.count_if(F.array_contains("anomaly_flags", "CLOCK_JUMP")).alias("clock_jumps"),
+        F.count_if(F.array_contains("anomaly_flags", "STORM")).alias("storm_lines"),
+        F.count_if(F.col("line_span") > 1).alias("spanning"),
+        F.min(F.unix_micros("ts_utc")).alias("first_us"),
+        F.max(F.unix_micros("ts_utc")).alias("last_us"),
+        F.max("dup_count").alias("most_copies"),
     )
 
 
-def checks(lines: DataFrame) -> DataFrame:
-    """check, passed: one row for each quality check."""
+def checks(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """check, passed: one row for each quality check; with files also whether their records are as many as the lines."""
     q = quality(lines)
     share = lambda a: F.col(a) / F.greatest(F.col("rows"), F.lit(1))
     tests = {
@@ -37,9 +43,41 @@ def checks(lines: DataFrame) -> DataFrame:
         "ids": F.col("distinct_ids") == F.col("rows"),
         "hashes": F.col("without_hash") == 0,
     }
+    if files is not None:
+        counted = files.agg(F.coalesce(F.sum("record_count"), F.lit(0)).alias("n"))
+        tests["records"] = counted.scalar() == F.col("rows")
     return q.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("passed")) for k, v in tests.items()])).alias("x")).select("x.*")
 
 
+def distributions(lines: DataFrame) -> DataFrame:
+    """of (component, ts_kind, level_norm, parser_name, ota_phase), value, n, errors: lines by each of these, in one pass."""
+    of = ["component", "ts_kind", "level_norm", "parser_name", "ota_phase"]
+    by = lines.select(*of, (F.col("level_num") >= 40).alias("_bad")).groupingSets([[c] for c in of], *of)
+    name = F.lit(of[-1])
+    for c in of[:-1]:
+        name = F.when(F.grouping(c) == 0, c).otherwise(name)
+    out = by.agg(name.alias("of"), F.count(F.lit(1)).alias("n"), F.count_if("_bad").alias("errors"))
+    return out.select("of", F.coalesce(*of).alias("value"), "n", "errors")
+
+
+def report(lines: DataFrame, files: DataFrame | None = None) -> dict:
+    """Figures, checks and distributions of a build as one document; some hundred rows at most come to the driver."""
+    by: dict[str, dict] = {}
+    for r in distributions(lines).orderBy("of", F.desc("n"), "value").collect():
+        by.setdefault(r.of, {})[r.value] = {"n": r.n, "errors": r.errors}
+    passed = {r.check: r.passed for r in checks(lines, files).collect()}
+    return {**quality(lines).first().asDict(), "checks": passed, "passed": all(passed.values()), "by": by}
+
+
+def report_text(found: dict) -> str:
+    """The document for reading, in Markdown."""
+    lines = ["# Quality of the evidence", "", *[f"- {k}: {v}" for k, v in found.items() if k not in ("checks", "passed", "by")], "", "| check | passed |", "|-|-|"]
+    lines += [f"| {k} | {'yes' if v else 'no'} |" for k, v in found["checks"].items()]
+    for of, values in found["by"].items():
+        lines += ["", f"| {of} | lines | errors |", "|-|-|-|", *[f"| {k} | {v['n']} | {v['errors']} |" for k, v in values.items()]]
+    return "\n".join([*lines, "", f"All checks passed: {'yes' if found['passed'] else 'no'}", ""])
+
+
 def nearest_rank(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """by and a column for each share: the value at position round((n - 1) * share) of the sorted values, without nulls.
 

@@ -131,7 +131,9 @@ def abort_markers(lines: DataFrame, words: list[str] = BAD_WORDS, top: int = 5)
     hit = F.lit(False)
     for w in words:
         hit = hit | F.lower("raw_line").contains(w)
-    return lines.where(hit).orderBy(F.asc_nulls_last("ts_utc"), "line_id").limit(top).select("line_id", "component", F.substring("raw_line", 1, 200).alias("raw_line"))
+    return lines.where(hit).orderBy(F.asc_nulls_last("ts_utc"), "line_id").limit(top).select(
+        "line_id", "row_hash", us("ts_utc").alias("us"), "component", F.substring("raw_line", 1, 200).alias("raw_line")
+    )
 
 
 def find_gaps(lines: DataFrame, min_gap_seconds: float = 30, components: list[str] | None = None, top: int | None = None) -> DataFrame:
@@ -217,6 +219,7 @@ class ToolResult:
     total: int = 0
     notes: list[str] = field(default_factory=list)
     next_cursor: int | None = None
+    summary: dict = field(default_factory=dict)
 
 
 class LogStore:
@@ -253,7 +256,17 @@ class LogStore:
         return ToolResult(tool, True, rows, len(rows), [*(notes or []), *([note] if note else [])])
 
     def t_describe_dataset(self) -> ToolResult:
-        return self._rows("describe_dataset", overview(self.lines), 500)
+        """Rows by component; the summary has the run, totals, levels, kinds of time and phases."""
+        out = self._rows("describe_dataset", component_stats(self.lines).orderBy(F.desc("lines"), "component"), 500)
+        run = self.tables["runs"].limit(1).collect() if "runs" in self.tables else []
+        first = run[0].asDict() if run else {}
+        out.summary = {k: first.get(k) for k in ("run_id", "input_archive", "input_sha256", "config_hash", "unparsed_records")}
+        by = {dim: [r for r in overview(self.lines).collect() if r.dim == dim] for dim in ("all", "level", "ts_kind")}
+        span = self.lines.agg(F.min(us("ts_utc")).alias("first_us"), F.max(us("ts_utc")).alias("last_us")).first()
+        out.summary |= {"total_records": by["all"][0].n, "templates": by["all"][0].templates, **span.asDict()}
+        out.summary |= {name: {r.value: r.n for r in by[dim]} for name, dim in (("levels", "level"), ("ts_kinds", "ts_kind"))}
+        out.summary["phases"] = [r.asDict() for r in phase_timeline(self.lines).orderBy("first_us").collect()]
+        return out
 
     def t_timeline(self, bucket: str = "1m", limit: int = 5000, **filters) -> ToolResult:
         return self._rows("timeline", timeline(self.lines, bucket, **filters).orderBy("bucket", "component"), limit)
@@ -267,6 +280,8 @@ class LogStore:
 
     def t_phase_timeline(self, ecu_id: str | None = None) -> ToolResult:
         out = self._rows("phase_timeline", phase_timeline(self.lines, ecu_id).orderBy("first_us"), 500)
+        markers = [r.asDict() for r in abort_markers(self.lines).collect()]
+        out.summary = {"last_phase": out.rows[-1]["ota_phase"] if out.rows else None, "abort_markers": markers}
         if out.rows:
             out.notes.append(f"last phase: {out.rows[-1]['ota_phase']}")
         return out

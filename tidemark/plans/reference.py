@@ -82,7 +82,7 @@ def phase_timeline(s, d):
     return tools.phase_timeline(_lines(s, d))
 
 
-@query("""SELECT line_id, component, substr(raw_line, 1, 200) AS raw_line FROM (SELECT DISTINCT line_id, component, raw_line, ts_utc FROM log_lines)
+@query("""SELECT line_id, row_hash, epoch_us(ts_utc) AS us, component, substr(raw_line, 1, 200) AS raw_line FROM (SELECT DISTINCT line_id, row_hash, component, raw_line, ts_utc FROM log_lines)
 WHERE lower(raw_line) LIKE '%aborted%' ORDER BY ts_utc NULLS LAST, line_id LIMIT 5""")
 def abort_markers(s, d):
     return tools.abort_markers(_once(s, d), ["aborted"])
@@ -380,7 +380,9 @@ def template_stats(s, d):
 _QUALITY = """SELECT count(*) AS rows, count(*) FILTER (parse_status = 'UNPARSED') AS unparsed, count(*) FILTER (ts_confidence >= 0.6) AS confident,
 count(*) FILTER (ts_utc IS NULL) AS without_time, count(*) FILTER (coalesce(row_hash, '') = '') AS without_hash, count(DISTINCT line_id) AS distinct_ids,
 count(DISTINCT template_id) AS templates, count(*) FILTER (list_contains(anomaly_flags, 'OUT_OF_ORDER')) AS out_of_order,
-count(*) FILTER (list_contains(anomaly_flags, 'MULTILINE')) AS multiline FROM log_lines"""
+count(*) FILTER (list_contains(anomaly_flags, 'MULTILINE')) AS multiline, count(*) FILTER (list_contains(anomaly_flags, 'CLOCK_JUMP')) AS clock_jumps,
+count(*) FILTER (list_contains(anomaly_flags, 'STORM')) AS storm_lines, count(*) FILTER (line_span > 1) AS spanning, min(epoch_us(ts_utc)) AS first_us,
+max(epoch_us(ts_utc)) AS last_us, max(dup_count) AS most_copies FROM log_lines"""
 
 
 @query(_QUALITY)
@@ -389,9 +391,15 @@ def quality_figures(s, d):
 
 
 @query(f"""WITH q AS ({_QUALITY}) SELECT 'unparsed' AS "check", unparsed / rows <= 0.05 AS passed FROM q UNION ALL SELECT 'confident', confident / rows >= 0.8 FROM q
-UNION ALL SELECT 'time', without_time = 0 FROM q UNION ALL SELECT 'templates', templates > 0 FROM q UNION ALL SELECT 'ids', distinct_ids = rows FROM q UNION ALL SELECT 'hashes', without_hash = 0 FROM q""")
+UNION ALL SELECT 'time', without_time = 0 FROM q UNION ALL SELECT 'templates', templates > 0 FROM q UNION ALL SELECT 'ids', distinct_ids = rows FROM q UNION ALL SELECT 'hashes', without_hash = 0 FROM q
+UNION ALL SELECT 'records', rows = (SELECT coalesce(sum(record_count), 0) FROM files) FROM q""")
 def quality_checks(s, d):
-    return scores.checks(_lines(s, d))
+    return scores.checks(_lines(s, d), table(s, d, "files"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS of, {c} AS value, count(*) AS n, {_ERR} FROM log_lines GROUP BY {c}" for c in ("component", "ts_kind", "level_norm", "parser_name", "ota_phase")))
+def quality_distributions(s, d):
+    return scores.distributions(_lines(s, d))
 
 
 @query("""WITH c AS (SELECT pipeline_version, epoch_us(finished_at_utc) - epoch_us(started_at_utc) AS v FROM runs WHERE finished_at_utc IS NOT NULL),
@@ -513,7 +521,8 @@ def compress_tiers(s, d):
 
 
 @query(f"""SELECT tier, template_id, count(*) AS folded, min(epoch_us(ts_utc)) AS first_us, max(epoch_us(ts_utc)) AS last_us,
-coalesce(array_to_string(list_sort(list(DISTINCT component)), ','), '') AS components FROM {_TIERS} WHERE NOT keep GROUP BY 1, 2""")
+coalesce(array_to_string(list_sort(list(DISTINCT component)), ','), '') AS components,
+first(left(raw_line, 160) ORDER BY ts_utc NULLS LAST, line_id) AS sample FROM {_TIERS} WHERE NOT keep GROUP BY 1, 2""")
 def compress_folds(s, d):
     return compress.folds(_tiered(s, d))
 
@@ -532,6 +541,20 @@ def block_summaries(s, d):
     return compress.block_summaries(_lines(s, d), ["run_id"])
 
 
+@query(f"""WITH l AS (SELECT *, CAST(floor(epoch_us(ts_utc) / 60000000) * 60 AS BIGINT) AS w FROM {_ONCE})
+SELECT w AS "window", count(*) AS lines, array_to_string(list_sort(list(DISTINCT component) FILTER (component IS NOT NULL))[:8], ',') AS components, array_to_string(list_sort(list(DISTINCT template_id) FILTER (template_id IS NOT NULL))[:12], ',') AS templates,
+first(left(raw_line, 120) ORDER BY ts_utc NULLS FIRST, line_id) AS sample FROM l GROUP BY 1""")
+def window_summaries(s, d):
+    out = compress.window_summaries(_once(s, d))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return out.select("window", "lines", joined("components"), joined("templates"), "sample")
+
+
+@query(f"""SELECT CAST(floor(epoch_us(ts_utc) / 60000000) * 60 AS BIGINT) AS "window", coalesce(level_norm, '') AS level, count(*) AS n FROM {_ONCE} GROUP BY 1, 2""")
+def window_levels(s, d):
+    return compress.window_summaries(_once(s, d)).select("window", F.inline("levels"))
+
+
 # ---- templates
 
 @query()
