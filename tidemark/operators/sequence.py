@@ -137,14 +137,15 @@ def time_confidence(kind: Column, has_tz: Column, has_year: Column, digits: Colu
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (base - less) * factor)), 3)
 
 
-def inferred_year(df: DataFrame, file: str, line_no: str, month: str, day: str, start_year: str, block: int = BLOCK_LINES) -> DataFrame:
+def inferred_year(df: DataFrame, file: str, line_no: str, month: str, day: str, start_year: str, block: int = BLOCK_LINES, tie: str | None = None) -> DataFrame:
     """Adds year to stamps without one: it grows where, in a file, the date steps back by six months or more.
 
     Rows with a null month take no part and have a null year.
     """
     dated = df.where(F.col(month).isNotNull()).withColumn("_block", F.floor(F.col(line_no) / block))
-    order = Window.partitionBy(file, "_block").orderBy(line_no)
-    carried = with_before(dated, [file], F.max_by(month, line_no), F.last("_s"), "_carry")
+    place = [line_no, *([tie] if tie else [])]
+    order = Window.partitionBy(file, "_block").orderBy(*place)
+    carried = with_before(dated, [file], F.max_by(month, F.struct(*place)), F.last("_s"), "_carry")
     before = F.coalesce(F.lag(month).over(order), "_carry")
     rolled = materialize(carried.withColumn("_roll", F.coalesce((before - F.col(month) >= 6), F.lit(False)).cast("int")).drop("_carry"))
     rolls = F.coalesce("_rolls", F.lit(0)) + F.sum("_roll").over(order.rowsBetween(Window.unboundedPreceding, 0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import parsers, text
-from tidemark.operators import compress, evidence, guard, scores, sequence, templates, tools
+from tidemark.operators import compress, evidence, guard, index, scores, sequence, templates, tools
 from tidemark.session import table
 
 QUERIES: dict = {}
@@ -256,6 +256,24 @@ def time_confidence(s, d):
     return rows.select("rec_id", score.alias("confidence"))
 
 
+@query("""WITH d AS (SELECT DISTINCT rec_id, file_id, line_no, CAST(substr(ts_raw, 1, 2) AS INTEGER) AS month, CAST(substr(ts_raw, 4, 2) AS INTEGER) AS day FROM parse_results
+WHERE regexp_matches(ts_raw, '^[0-9]{2}-[0-9]{2} ')),
+b AS (SELECT *, CASE WHEN lag(month) OVER (PARTITION BY file_id ORDER BY line_no, rec_id) - month >= 6 THEN 1 ELSE 0 END AS roll FROM d)
+SELECT rec_id, 2024 + CAST(sum(roll) OVER (PARTITION BY file_id ORDER BY line_no, rec_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS year FROM b""")
+def inferred_years(s, d):
+    """Of the stamps without year, had each file begun in 2024."""
+    raw = F.col("ts_raw")
+    rows = table(s, d, "parse_results").where(raw.rlike("^[0-9]{2}-[0-9]{2} ")).select(
+        "rec_id", "file_id", "line_no", F.substring(raw, 1, 2).cast("int").alias("month"), F.substring(raw, 4, 2).cast("int").alias("day"), F.lit(2024).alias("begun")
+    )
+    return sequence.inferred_year(rows.distinct(), "file_id", "line_no", "month", "day", "begun", tie="rec_id").select("rec_id", "year")
+
+
+@query("SELECT line_id, component FROM log_lines WHERE level_num >= 40")
+def errors_view(s, d):
+    return tools.views(_lines(s, d))["v_errors"].select("line_id", "component")
+
+
 # ---- scalar operators
 
 @query(r"""SELECT line_id, CASE WHEN level_norm IS NOT NULL AND level_norm <> 'UNKNOWN' THEN level_norm
@@ -362,6 +380,26 @@ def level_names(s, d):
     return _lines(s, d).groupBy("level_raw").agg(F.count(F.lit(1)).alias("n")).withColumn("level", parsers.level_norm(F.col("level_raw")))
 
 
+# ---- token index
+
+_POSTINGS = f"(SELECT line_id, unnest(list_distinct(string_split(msg_tokens, ' '))) AS token FROM {_ONCE} WHERE msg_tokens IS NOT NULL)"
+
+
+@query(f"SELECT token, count(*) AS lines FROM {_POSTINGS} WHERE token <> '' GROUP BY 1")
+def token_frequencies(s, d):
+    return index.postings(_once(s, d)).groupBy("token").agg(F.sum(F.bit_count("bits")).alias("lines"))
+
+
+@query(f"SELECT line_id FROM {_POSTINGS} WHERE token IN ('timeout', 'rejected', 'block') GROUP BY 1 HAVING count(*) >= 1")
+def index_any(s, d):
+    return index.lookup(index.postings(_once(s, d)), ["timeout", "Rejected", "block"], every=False)
+
+
+@query(f"SELECT line_id FROM {_POSTINGS} WHERE token IN ('zone', 'slot') GROUP BY 1 HAVING count(*) = 2")
+def index_all(s, d):
+    return index.lookup(index.postings(_once(s, d)), ["zone", "slot", "slot"], every=True)
+
+
 # ---- statistics and quality
 
 @query("""SELECT file_id, count(*) AS records, max(line_no + line_span - 1) AS lines, min(epoch_us(ts_utc)) AS first_us, max(epoch_us(ts_utc)) AS last_us FROM log_lines GROUP BY 1""")
@@ -542,7 +580,8 @@ def block_summaries(s, d):
 
 
 @query(f"""WITH l AS (SELECT *, CAST(floor(epoch_us(ts_utc) / 60000000) * 60 AS BIGINT) AS w FROM {_ONCE})
-SELECT w AS "window", count(*) AS lines, array_to_string(list_sort(list(DISTINCT component) FILTER (component IS NOT NULL))[:8], ',') AS components, array_to_string(list_sort(list(DISTINCT template_id) FILTER (template_id IS NOT NULL))[:12], ',') AS templates,
+SELECT w AS "window", count(*) AS lines, coalesce(array_to_string(list_sort(list(DISTINCT component) FILTER (component IS NOT NULL))[:8], ','), '') AS components,
+coalesce(array_to_string(list_sort(list(DISTINCT template_id) FILTER (template_id IS NOT NULL))[:12], ','), '') AS templates,
 first(left(raw_line, 120) ORDER BY ts_utc NULLS FIRST, line_id) AS sample FROM l GROUP BY 1""")
 def window_summaries(s, d):
     out = compress.window_summaries(_once(s, d))
