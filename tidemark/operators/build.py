@@ -19,6 +19,8 @@ VERSION = "1.0"
 
 META = "task_id string, campaign_id string, vin string, model string, region string, timezone string, collected_at string"
 ZONE = "Asia/Shanghai"
+#: what names a record while it is built
+KEY = ["file_id", "line_no"]
 # fixed value: words of a template that speaks of an error
 ERROR_LIKE = "(?i)fail|error|exception|timeout|abort|panic|denied|nrc|invalid|insufficient|错误|失败|异常|超时|中止"
 RUNS = (
@@ -48,30 +50,36 @@ def evidence_rows(recs: DataFrame, files: DataFrame, meta: DataFrame) -> DataFra
     rows = rows.withColumn("parser_name", parsers.parser_name(F.col("_line"), F.col("_json")))
     rows = parsers.with_parsed(rows, "_line", "parser_name", "_json").drop("_line", "_json")
     rows = rows.withColumn("p", F.struct(*parsers.FIELDS)).drop(*parsers.FIELDS)
-    rows = materialize(rows)
-    rows = (
-        rows.withColumn("_zone", F.coalesce("timezone", F.lit(ZONE)))
-        .withColumn("_collected", F.coalesce(F.col("collected_at").try_cast("timestamp"), F.col("mtime_utc")))
-        .withColumn("_stamp", trimmed(F.col("p.ts")))
-    )
-    rows = with_interpretations(rows, "_stamp", "_zone", "_collected")
+    # all that a record's own text and bytes give is computed where it is read
+    business = text.business(F.col("text"))
+    own = {
+        "_zone": F.coalesce("timezone", F.lit(ZONE)),
+        "_collected": F.coalesce(F.col("collected_at").try_cast("timestamp"), F.col("mtime_utc")),
+        "_level": text.inferred_level(F.col("p.level_norm"), F.coalesce("p.message", "text")),
+        "_tokens": text.search_tokens(F.coalesce("p.message", "text")),
+        "_raw_hash": text.raw_hash("raw_bytes"),
+        "_norm_hash": text.norm_hash(text.canonical(F.col("text"))),
+        "_row_hash": text.row_hash(F.col("text"), F.col("rel_path"), F.col("line_no")),
+        "_phase": text.phase(F.col("text")),
+        "_vin": text.mask_vin("vin"),
+        **{f"_{name}": business[name] for name in ("ota_task_id", "campaign_id", "ecu_id")},
+    }
+    rows = materialize(rows.withColumns(own).drop("raw_bytes"))
+    # times are found from the few columns that they need, and joined to the rows once
     mono = F.when(F.col("p.mono").isNotNull(), _boot_start() + F.round(F.col("p.mono") * 1_000_000).cast("bigint"))
-    rows = rows.select(
-        "*", F.inline_outer(F.when(mono.isNotNull(), F.array(F.struct(mono.alias("early"), mono.alias("late")))).otherwise(F.slice("instants", 1, 1)))
-    ).drop("instants")
+    stamps = with_interpretations(rows.select(*KEY, "_zone", "_collected", trimmed(F.col("p.ts")).alias("_stamp"), mono.alias("_mono")), "_stamp", "_zone", "_collected")
+    one = F.array(F.struct(F.col("_mono").alias("early"), F.col("_mono").alias("late")))
+    keyed = materialize(stamps.select(*KEY, F.inline_outer(F.when(F.col("_mono").isNotNull(), one).otherwise(F.slice("instants", 1, 1)))))
     # a repeated hour resolves along the file, as for every stamp
-    keyed = materialize(rows.withColumn("rec", F.concat_ws(":", "file_id", "line_no")))
-    solved = clock.resolve(keyed.where(F.col("early").isNotNull()).select(F.col("rec").alias("rec_id"), "file_id", "line_no", "early", "late"))
-    timed = keyed.join(solved.withColumnRenamed("rec_id", "rec"), "rec", "left")
-    timed = sequence.clock_steps(timed, "file_id", "line_no", "utc_us")
+    solved = clock.resolve(keyed.where(F.col("early").isNotNull()).select(F.struct(*KEY).alias("rec_id"), *KEY, "early", "late"))
+    times = keyed.select(*KEY).join(solved.select("rec_id.*", "utc_us"), KEY, "left")
+    timed = rows.join(sequence.clock_steps(times, "file_id", "line_no", "utc_us"), KEY)
     kind = F.when(F.col("utc_us").isNotNull(), F.col("p.ts_kind")).when(F.col("derived"), "DERIVED").otherwise("NONE")
     has_tz = F.coalesce(F.col("p.ts").rlike(r"(Z|[+-]\d{2}:?\d{2})$") & F.col("p.ts").rlike(r"\d{4}-\d{2}-\d{2}T"), F.lit(False))
     has_year = F.coalesce(F.col("p.ts").rlike(r"^\d{4}[-/]"), F.lit(False))
     digits = F.length(F.regexp_extract(F.coalesce("p.ts", F.col("p.mono").cast("string"), F.lit("")), r"[.,](\d+)", 1))
     monotone = ~F.array_contains("flags", "OUT_OF_ORDER")
-    business = text.business(F.col("text"))
-    level = text.inferred_level(F.col("p.level_norm"), F.coalesce("p.message", "text"))
-    canonical = text.canonical(F.col("text"))
+    level = F.col("_level")
     return timed.select(
         "file_seq", "file_id", F.col("rel_path").alias("file_path"), "line_no", "byte_offset", "byte_len", "line_span", "source_rank", "component",
         F.timestamp_micros("resolved_us").alias("ts_utc"),
@@ -81,11 +89,11 @@ def evidence_rows(recs: DataFrame, files: DataFrame, meta: DataFrame) -> DataFra
         F.round(F.col("p.mono") * 1_000_000_000).cast("bigint").alias("monotonic_ns"), "clock_epoch", F.col("gap_ms").alias("ts_gap_ms"),
         F.col("p.process").alias("process"), F.col("p.pid").alias("pid"), F.col("p.tid").alias("tid"), F.col("p.logger").alias("logger"), F.col("p.src_loc").alias("src_loc"),
         F.col("p.level_raw").alias("level_raw"), level.alias("level_norm"), text.level_number(level).cast("smallint").alias("level_num"),
-        F.col("p.message").alias("message"), F.col("text").alias("raw_line"), text.search_tokens(F.coalesce("p.message", "text")).alias("msg_tokens"),
-        F.col("p.fields").alias("fields"), text.raw_hash("raw_bytes").alias("raw_hash"), text.norm_hash(canonical).alias("norm_hash"),
-        text.row_hash(F.col("text"), F.col("rel_path"), F.col("line_no")).alias("row_hash"),
-        F.coalesce(business["ota_task_id"], "task_id").alias("ota_task_id"), F.coalesce(business["campaign_id"], F.col("campaign_id")).alias("campaign_id"),
-        business["ecu_id"].alias("ecu_id"), text.phase(F.col("text")).alias("own_phase"), text.mask_vin("vin").alias("vin_masked"),
+        F.col("p.message").alias("message"), F.col("text").alias("raw_line"), F.col("_tokens").alias("msg_tokens"),
+        F.col("p.fields").alias("fields"), F.col("_raw_hash").alias("raw_hash"), F.col("_norm_hash").alias("norm_hash"),
+        F.col("_row_hash").alias("row_hash"),
+        F.coalesce("_ota_task_id", "task_id").alias("ota_task_id"), F.coalesce("_campaign_id", "campaign_id").alias("campaign_id"),
+        F.col("_ecu_id").alias("ecu_id"), F.col("_phase").alias("own_phase"), F.col("_vin").alias("vin_masked"),
         F.when(F.col("decode_error"), "ENCODING_ERROR").when(F.col("truncated"), "TRUNCATED").otherwise(F.col("p.status")).alias("parse_status"),
         "parser_name", F.lit(VERSION).alias("parser_version"), "encoding",
         F.array_sort(F.concat("flags", F.array_compact(F.array(
@@ -95,15 +103,22 @@ def evidence_rows(recs: DataFrame, files: DataFrame, meta: DataFrame) -> DataFra
     )
 
 
-def finish(rows: DataFrame, run_id: str, storm_lines: int = sequence.STORM_LINES) -> DataFrame:
-    """Ids, templates (template holds the mined text), duplicate marks, filled phases and storms over all rows."""
+def finish(rows: DataFrame, run_id: str, storm_lines: int = sequence.STORM_LINES) -> tuple[DataFrame, DataFrame]:
+    """Ids, templates, duplicate marks, filled phases and storms over all rows; and the templates' texts (template_id, template).
+
+    Each of these is found from the few columns that it needs; the rows are shuffled once, to be joined with all of them.
+    """
     rows = materialize(rows)
-    mined = templates.mine(rows.withColumn("_text", F.coalesce("message", "raw_line")), "_text", ["file_seq", "line_no"]).drop("_text")
-    marked = sequence.duplicates(mined, "norm_hash", ["file_seq", "line_no"])
+    text = F.coalesce("message", "raw_line").alias("_text")
+    mined = materialize(templates.mine(rows.select(*KEY, "file_seq", "component", "ts_utc", text), "_text", ["file_seq", "line_no"]).drop("_text", "file_seq"))
+    marked = sequence.duplicates(rows.select(*KEY, "file_seq", "norm_hash"), "norm_hash", ["file_seq", "line_no"]).select(*KEY, "dup_rank", "dup_count")
     order = [F.asc_nulls_last("ts_utc"), F.asc("source_rank"), F.asc("file_id"), F.asc("line_no")]
-    numbered = sequence.dense_ids(marked, order, "line_id")
-    filled = sequence.forward_fill(numbered, [F.asc("line_id")], "own_phase", "ota_phase").drop("own_phase")
-    return sequence.flag_storms(filled, "template_id", "ts_utc", "component", storm_lines).withColumn("run_id", F.lit(run_id)).withColumn("schema_version", F.lit(1))
+    numbered = sequence.dense_ids(rows.select(*KEY, "ts_utc", "source_rank", "own_phase"), order, "line_id")
+    filled = sequence.forward_fill(numbered, [F.asc("line_id")], "own_phase", "ota_phase").select(*KEY, "line_id", "ota_phase")
+    joined = rows.drop("own_phase").join(mined.select(*KEY, "template_id"), KEY).join(marked, KEY).join(filled, KEY)
+    storms = sequence.storms(mined, "template_id", "ts_utc", "component", storm_lines)
+    flagged = sequence.flag_storms(joined, "template_id", "ts_utc", "component", storm_lines, storms)
+    return flagged.withColumn("run_id", F.lit(run_id)).withColumn("schema_version", F.lit(1)), mined.select("template_id", "template")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
@@ -144,10 +159,10 @@ def build(spark: SparkSession, archive_path: str, workspace: str, run_id: str =
     found = materialize(archives.read_members(spark, archive_path))
     files = materialize(archives.parse_order(archives.inventory(found)))
     rows = evidence_rows(archives.read_records(files, found), files, package_meta(found))
-    mined = materialize(finish(rows, run_id))
-    write_lines(mined.drop("template"), f"{workspace}/log_lines")
+    finished, texts = finish(rows, run_id)
+    write_lines(finished, f"{workspace}/log_lines")
     lines = spark.read.parquet(f"{workspace}/log_lines")
-    template_rows(lines, mined.select("template_id", "template")).write.mode("overwrite").parquet(f"{workspace}/templates")
+    template_rows(lines, texts).write.mode("overwrite").parquet(f"{workspace}/templates")
     stats = scores.file_stats(lines)
     named = stats.withColumnsRenamed({"records": "record_count", "lines": "line_count"})
     named.join(files.drop("component"), "file_id").write.mode("overwrite").parquet(f"{workspace}/files")

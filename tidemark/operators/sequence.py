@@ -184,9 +184,10 @@ def storms(df: DataFrame, template: str, ts: str, component: str, least: int = S
     )
 
 
-def flag_storms(df: DataFrame, template: str, ts: str, component: str, least: int = STORM_LINES) -> DataFrame:
-    """Adds STORM to anomaly_flags of lines in a storm. The storms are a semi-aggregated side, far smaller than the lines."""
-    marks = storms(df, template, ts, component, least).select(F.col(template).alias("_t"), F.col("second").alias("_s"))
+def flag_storms(df: DataFrame, template: str, ts: str, component: str, least: int = STORM_LINES, known: DataFrame | None = None) -> DataFrame:
+    """Adds STORM to anomaly_flags of lines in a storm (of those known, if given). The storms are aggregated, far fewer than the lines."""
+    found = storms(df, template, ts, component, least) if known is None else known
+    marks = found.select(F.col(template).alias("_t"), F.col("second").alias("_s"))
     second = F.floor(F.unix_micros(ts) / 1_000_000)
     flags = F.coalesce("anomaly_flags", F.array().cast("array<string>"))
     return (

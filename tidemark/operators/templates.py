@@ -14,9 +14,11 @@ belongs to an earlier cluster if that has come to cover it meanwhile. These move
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,6 @@ from tidemark.session import materialize
 SIMILAR, DEPTH, CHILDREN, CLUSTERS = 0.4, 3, 100, 5000
 WILD = "<*>"
 PATH = ["t_size", "t0", "t1", "t2"]
-#: distinct messages in a bucket of paths, about
-BUCKET_MESSAGES = 50_000
 # fixed values: tokens that are parameters: digits and their marks, hexadecimal numbers
 PARAMETER = r"^(?:(?=[^{d}]*[{d}])[{d}.:,\-+/]+|0x[0-9a-fA-F]+|[0-9a-fA-F]{{8,}})$"
 JAVA_PARAMETER, PYTHON_PARAMETER = PARAMETER.format(d=r"\p{Nd}"), re.compile(PARAMETER.format(d=r"\d"))
@@ -35,18 +35,19 @@ BLANK = r"(?U)[\s\x1c-\x1f]+"
 MINED = "message string, since bigint, founded bigint, template string"
 
 
-def mine_path(pdf: pd.DataFrame) -> pd.DataFrame:
+def mine_path(messages: list[str], places: list[int]) -> list[tuple[str, int | None, int, str]]:
     """Distinct messages of one path and length, in order of first appearance, to clusters.
 
-    message, since, founded, template: where since is null, the cluster that the message joins or founds; else an earlier
+    message, since, founded, template: where since is none, the cluster that the message joins or founds; else an earlier
     one that covers it after the message of that place. Clusters are named by their founder's place.
     """
-    rows = pdf.sort_values("first")
-    codes: dict[str, int] = {WILD: 0}
-    size = int(rows["size"].iloc[0])
-    messages, places = rows["message"].tolist(), rows["first"].tolist()
     texts = [m.split() or [""] for m in messages]
-    words = np.array([[codes.setdefault(t, len(codes)) for t in text] for text in texts], np.int64).reshape(len(texts), size)
+    masked = [WILD if PYTHON_PARAMETER.match(t) else t for t in texts[0]]
+    if len(texts) == 1:
+        return [(messages[0], None, places[0], " ".join(masked))]
+    codes: dict[str, int] = {WILD: 0}
+    size = len(texts[0])
+    words = np.array([[codes.setdefault(t, len(codes)) for t in text] for text in texts], np.int64)
     patterns = np.zeros((16, size), np.int64)
     history: list[list[tuple[int, np.ndarray]]] = []
     founder: list[int] = []
@@ -73,22 +74,35 @@ def mine_path(pdf: pd.DataFrame) -> pd.DataFrame:
                 history[k].append((i, patterns[k].copy()))
         member[i] = k
     names = list(codes)
-    templates = [" ".join(names[c] for c in p) for p in patterns[: len(founder)]]
+    templates = [" ".join(names[c] for c in p) for p in patterns[: len(founder)].tolist()]
     out = [(m, None, places[founder[k]], templates[k]) for m, k in zip(messages, member.tolist())]
     for k, changes in enumerate(history):
-        if not changes:
+        if not changes or k == len(founder) - 1:
             continue
         later = np.flatnonzero(member > k)
         for i in later[((words[later] == patterns[k]) | (patterns[k] == 0)).all(axis=1)].tolist():
             since = next(at for at, p in changes if ((p == words[i]) | (p == 0)).all())
             out.append((messages[i], places[since], places[founder[k]], templates[k]))
-    frame = pd.DataFrame(out, columns=["message", "since", "founded", "template"])
-    return frame.astype({"since": "Int64"})
+    return out
+
+
+def mine_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths, one after the other, of rows in order: PATH, size, first, message."""
+    rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+    out: list[tuple] = []
+    for _, own in groupby(rows, key=lambda r: r[:5]):
+        *_, places, messages = zip(*own)
+        out += mine_path(list(messages), list(places))
+        if len(out) >= 10_000:
+            yield _mined(out)
+            out = []
+    yield _mined(out)
 
 
-def mine_paths(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The paths of one bucket, one after the other."""
-    return pd.concat([mine_path(g) for _, g in pdf.groupby([*PATH, "size"], sort=False)], ignore_index=True)
+def _mined(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+    cols = list(zip(*rows)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["message", "since", "founded", "template"])
 
 
 def _paths(messages: DataFrame) -> DataFrame:
@@ -120,10 +134,12 @@ def mine(rows: DataFrame, message: str, order: list[str], clusters: int | None =
 
     distinct = rows.where(F.col(message).isNotNull()).groupBy(F.col(message).alias("message")).agg(F.min(F.struct(*order)).alias("place"))
     placed = materialize(dense_ids(distinct, [F.asc("place"), F.asc("message")], "first"))
-    # paths are dealt to buckets of bounded size, since a call for each of many small paths costs more than their work
-    buckets = max(64, placed.count() // BUCKET_MESSAGES)
-    dealt = _paths(placed.select("message", "first")).withColumn("bucket", F.pmod(F.xxhash64(*PATH), F.lit(buckets)))
-    mined = materialize(dealt.select("message", "first", "size", *PATH, "bucket").groupBy("bucket").applyInPandas(mine_paths, MINED))
+    # a task takes whole paths, one after the other, since a call for each of many small paths costs more than their work
+    keys = [*PATH, "size"]
+    dealt = _paths(placed.select("message", "first")).select(*keys, "first", "message")
+    # as many tasks as any shuffle has: the work is in the messages, not in their bytes
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mined = materialize(dealt.repartition(tasks, *keys).sortWithinPartitions(*keys, "first").mapInArrow(mine_paths, MINED))
     number = F.col("n") + 1
     if clusters is not None:
         number = F.when(F.col("n") < clusters, number).otherwise(0)
