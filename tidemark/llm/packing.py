@@ -165,10 +165,10 @@ def pack_documents(
     for name in sorted({t[2] for t in tiers}):
         own = [(t, c) for t, c, n in tiers if n == name]
         # copies of an id counted, then numbered: the same containers whatever the layout, and a repeated id is spread too
-        sizes = materialize(encode_corpus(docs, row_id, text, name, tokenizer_dir, counts_only=True).groupBy(row_id, "n_tokens").agg(F.count(F.lit(1)).alias("n")))
-        shards = max(1, round((sizes.agg(F.sum("n")).first()[0] or 0) / shard_items))
-        each = sizes.select(row_id, "n_tokens", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-        dealt = each.select(row_id, "n_tokens", F.pmod(F.xxhash64(row_id, "n_tokens", "copy"), F.lit(shards)).alias("shard"))
+        sizes = materialize(encode_corpus(docs, row_id, text, name, tokenizer_dir, counts_only=True).groupBy(row_id, "n_tokens").agg(F.count(F.lit(1)).alias("_copies")))
+        shards = max(1, round((sizes.agg(F.sum("_copies")).first()[0] or 0) / shard_items))
+        each = sizes.select(row_id, "n_tokens", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+        dealt = each.select(row_id, "n_tokens", F.pmod(F.xxhash64(row_id, "n_tokens", "_copy"), F.lit(shards)).alias("shard"))
         part = dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(_packer(row_id, own), schema)
         packed = part if packed is None else packed.union(part)
     if packed is None:

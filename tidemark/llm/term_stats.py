@@ -23,13 +23,12 @@ def _bit(number: Column) -> Column:
 
 
 def term_bitmaps(df: DataFrame, term: str, record: str, occurrence: str | None = None) -> DataFrame:
-    """Words of each term's bitmaps: term, record (null in bitmaps of records), word (64 ids), bits, rows.
+    """Words of each term's bitmaps: term, of_occurrences, record, lost, word (its 64 ids), bits, rows (that it took).
 
-    Rows with a null `record` are words of the term's record bitmap. With `occurrence` there are also the words of the
-    occurrences of each (term, record), so that a repeated (term, record, occurrence) counts once; else every row counts.
-    Record and occurrence ids are whole numbers. Null terms are left out, with `occurrence` null occurrences too; a null
-    record counts as an occurrence but as no record: its word is null, or in a bitmap of occurrences its record is -1
-    and `lost` is true.
+    A term has one bitmap of records; with `occurrence` also one of the occurrences in each record, so that a repeated
+    (term, record, occurrence) counts once; else every row counts. Record and occurrence ids are whole numbers. Null terms
+    are left out, and null occurrences where they are asked for. A null record counts as an occurrence but as no
+    record: in the bitmap of records its word is null, among those of occurrences it has record -1 and lost is true.
     """
     number = F.col(record).cast("bigint")
     rows = df.select(F.col(term).alias("term"), number.alias("id"), F.col(occurrence or record).cast("bigint").alias("occurrence"))
