@@ -15,6 +15,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("archives")
     p.add_argument("workspace")
     p.add_argument("--run-id", default="R0")
+    p.add_argument("--rules", help="JSON or YAML of parsers, phases and components")
     p = sub.add_parser("query")
     p.add_argument("workspace")
     p.add_argument("tool")
@@ -29,9 +30,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if a.command == "build":
         from tidemark.operators.build import build, write_manifest
+        from tidemark.rules import Rules, load_rules
 
         os.makedirs(a.workspace, exist_ok=True)
-        result = build(spark, a.archives, a.workspace, a.run_id)
+        result = build(spark, a.archives, a.workspace, a.run_id, rules=load_rules(a.rules) if a.rules else Rules())
         write_manifest(result, f"{a.workspace}/manifest.json")
         print(json.dumps(result, default=str))
         return 0 if all(result["checks"].values()) else 1

@@ -38,6 +38,8 @@ LEVELS = {
 }
 CN_LEVELS = {"调试": "DEBUG", "信息": "INFO", "提示": "INFO", "警告": "WARN", "错误": "ERROR", "严重": "FATAL"}
 KERNEL_LEVELS = ["FATAL", "FATAL", "FATAL", "ERROR", "WARN", "NOTICE", "INFO", "DEBUG"]
+#: JSON lines are tried before this format
+AFTER_JSON = "cn_bracket_level"
 FIELDS = ["ts_kind", "ts", "mono", "level_raw", "level_norm", "logger", "process", "pid", "tid", "src_loc", "message", "fields", "status"]
 
 
@@ -55,11 +57,11 @@ def json_object(line: Column) -> Column:
     return F.from_json(F.when(line.rlike(UNIX_LINES + r"^\s*\{.*\}\s*$"), line), "map<string,string>")
 
 
-def parser_name(line: Column, json: Column) -> Column:
+def parser_name(line: Column, json: Column, formats: list = FORMATS) -> Column:
     """Name of the first format that matches a first line; json is json_object(line)."""
     out = None
-    for i, (name, _, pattern, _) in enumerate(FORMATS):
-        if i == 7:
+    for name, _, pattern, _ in formats:
+        if name == AFTER_JSON:
             out = out.when(json.isNotNull(), "json_line")
         out = (F if out is None else out).when(line.rlike(UNIX_LINES + pattern), name)
     return out.otherwise("fallback_raw")
@@ -77,16 +79,16 @@ def level_norm(raw: Column) -> Column:
     return out
 
 
-def groups(line: Column, name: Column) -> Column:
+def groups(line: Column, name: Column, formats: list = FORMATS) -> Column:
     """The groups of the matching format's pattern as an array of texts: each line goes through its own pattern once."""
     out = None
-    for fmt, _, pattern, names in FORMATS:
+    for fmt, _, pattern, names in formats:
         order = "\x01".join(f"${i}" for i in range(1, len(names) + 1))
         out = (F if out is None else out).when(name == fmt, F.regexp_replace(line, UNIX_LINES + pattern, order))
     return F.split(out, "\x01")
 
 
-def with_parsed(df: DataFrame, line: str, name: str, json: str) -> DataFrame:
+def with_parsed(df: DataFrame, line: str, name: str, json: str, formats: list = FORMATS) -> DataFrame:
     """Adds FIELDS; line, name and json are columns as of the functions above.
 
     Each step is a projection of its own, so that no pattern is matched twice.
@@ -96,18 +98,18 @@ def with_parsed(df: DataFrame, line: str, name: str, json: str) -> DataFrame:
     def pick(*wanted: str) -> Column:
         out = F.when(fmt.isNull(), None)
         for w in wanted:
-            for f, _, _, names in FORMATS:
+            for f, _, _, names in formats:
                 if w in names:
                     out = out.when(fmt == f, F.nullif(got[names.index(w)], F.lit("")))
         keys = next((JSON_KEYS[w] for w in wanted if w in JSON_KEYS), None)
         return out.when(fmt == "json_line", F.coalesce(*[F.try_element_at(json, F.lit(k)) for k in keys])) if keys else out
 
     kind = F.lit("NONE")
-    for f, k, _, _ in [*FORMATS, ("json_line", "WALL", "", [])]:
+    for f, k, _, _ in [*formats, ("json_line", "WALL", "", [])]:
         kind = F.when(fmt == f, k).otherwise(kind)
     used = [k for ks in JSON_KEYS.values() for k in ks]
     return (
-        df.withColumn("_tm_groups", groups(F.col(line), fmt))
+        df.withColumn("_tm_groups", groups(F.col(line), fmt, formats))
         .withColumns({
             "ts_kind": kind,
             "ts": pick("ts"),

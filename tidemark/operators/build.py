@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import parsers, text
 from tidemark.functions.instants import trimmed, with_interpretations
 from tidemark.operators import clock, scores, sequence, templates
+from tidemark.rules import Rules
 from tidemark.session import materialize
 from tidemark.sources import archives
 
 VERSION = "1.0"
 
+RULES = Rules()
 META = "task_id string, campaign_id string, vin string, model string, region string, timezone string, collected_at string"
 ZONE = "Asia/Shanghai"
 #: what names a record while it is built
@@ -40,15 +42,15 @@ def _boot_start() -> Column:
     return F.unix_micros("mtime_utc") - 3_600_000_000
 
 
-def evidence_rows(recs: DataFrame, files: DataFrame, meta: DataFrame) -> DataFrame:
+def evidence_rows(recs: DataFrame, files: DataFrame, meta: DataFrame, rules: Rules = RULES) -> DataFrame:
     """The parsed and timed rows of records; no ids across files yet."""
     around = files.select(
         "file_id", "file_seq", "archive_path", "rel_path", "component", "source_rank", "mtime_utc", "encoding"
     ).join(meta.withColumnRenamed("archive", "archive_path"), "archive_path", "left")
     rows = recs.join(around, "file_id")
     rows = rows.withColumn("_line", parsers.first_line(F.col("text"))).withColumn("_json", parsers.json_object(F.col("_line")))
-    rows = rows.withColumn("parser_name", parsers.parser_name(F.col("_line"), F.col("_json")))
-    rows = parsers.with_parsed(rows, "_line", "parser_name", "_json").drop("_line", "_json")
+    rows = rows.withColumn("parser_name", parsers.parser_name(F.col("_line"), F.col("_json"), rules.formats))
+    rows = parsers.with_parsed(rows, "_line", "parser_name", "_json", rules.formats).drop("_line", "_json")
     rows = rows.withColumn("p", F.struct(*parsers.FIELDS)).drop(*parsers.FIELDS)
     # all that a record's own text and bytes give is computed where it is read
     business = text.business(F.col("text"))
@@ -60,7 +62,7 @@ def evidence_rows(recs: DataFrame, files: DataFrame, meta: DataFrame) -> DataFra
         "_raw_hash": text.raw_hash("raw_bytes"),
         "_norm_hash": text.norm_hash(text.canonical(F.col("text"))),
         "_row_hash": text.row_hash(F.col("text"), F.col("rel_path"), F.col("line_no")),
-        "_phase": text.phase(F.col("text")),
+        "_phase": text.phase(F.col("text"), rules.phases),
         "_vin": text.mask_vin("vin"),
         **{f"_{name}": business[name] for name in ("ota_task_id", "campaign_id", "ecu_id")},
     }
@@ -153,12 +155,12 @@ def parse_error_rows(lines: DataFrame) -> DataFrame:
     )
 
 
-def build(spark: SparkSession, archive_path: str, workspace: str, run_id: str = "R0", tenant: str | None = None) -> dict:
+def build(spark: SparkSession, archive_path: str, workspace: str, run_id: str = "R0", tenant: str | None = None, rules: Rules = RULES) -> dict:
     """Builds log_lines, files, templates, parse_errors and runs below the workspace; gives the counts and checks."""
     started = datetime.now(timezone.utc)
     found = materialize(archives.read_members(spark, archive_path))
-    files = materialize(archives.parse_order(archives.inventory(found)))
-    rows = evidence_rows(archives.read_records(files, found), files, package_meta(found))
+    files = materialize(archives.parse_order(archives.inventory(found, rules.components)))
+    rows = evidence_rows(archives.read_records(files, found), files, package_meta(found), rules)
     finished, texts = finish(rows, run_id)
     write_lines(finished, f"{workspace}/log_lines")
     lines = spark.read.parquet(f"{workspace}/log_lines")

@@ -120,6 +120,11 @@ def top_templates_errors(s, d):
     return tools.top_templates(table(s, d, "templates"), "error_only")
 
 
+@query(_top("occurrences DESC", "components[1] IN ('kernel', 'downloader')"))
+def top_templates_of_components(s, d):
+    return tools.top_templates(table(s, d, "templates"), "frequent", ["kernel", "downloader"])
+
+
 # ---- search and context
 
 _SUMMARY = "line_id, epoch_us(ts_utc) AS ts_us, component, level_norm, logger, template_id, ota_phase, ecu_id, dup_count, row_hash, file_id, substr(raw_line, 1, 220) AS preview"
@@ -248,11 +253,16 @@ def storm_flags(s, d):
 
 @query("""SELECT rec_id, round(greatest(0, least(1, (base - less) * factor)), 3) AS confidence FROM (SELECT DISTINCT rec_id,
 CASE WHEN ts_kind = 'WALL' THEN CAST(0.95 AS DOUBLE) WHEN ts_kind IN ('MONOTONIC', 'BOOT_RELATIVE') THEN 0.8 WHEN ts_kind = 'DERIVED' THEN 0.6 ELSE 0 END AS base,
-CASE WHEN has_tz THEN CAST(0 AS DOUBLE) ELSE 0.05 END + CASE WHEN has_year THEN CAST(0 AS DOUBLE) ELSE 0.08 END + CASE WHEN precision_digits > 0 THEN CAST(0 AS DOUBLE) ELSE 0.05 END AS less,
-CASE WHEN ts_kind = 'WALL' THEN CAST(1 AS DOUBLE) ELSE 0.85 END AS factor FROM parse_results)""")
+CASE WHEN has_tz THEN CAST(0 AS DOUBLE) ELSE 0.05 END + CASE WHEN has_year THEN CAST(0 AS DOUBLE) ELSE 0.08 END + CASE WHEN precision_digits > 0 THEN CAST(0 AS DOUBLE) ELSE 0.05 END
++ CASE WHEN status = 'OK' THEN 0 ELSE 0.2 END AS less,
+CASE WHEN ts_kind = 'WALL' OR boot_id IN (SELECT boot_id FROM clock_anchors WHERE boot_id IS NOT NULL) THEN CAST(1 AS DOUBLE) ELSE 0.85 END AS factor FROM parse_results)""")
 def time_confidence(s, d):
-    rows = table(s, d, "parse_results").select("rec_id", "ts_kind", "has_tz", "has_year", "precision_digits").distinct()
-    score = sequence.time_confidence(F.col("ts_kind"), F.col("has_tz"), F.col("has_year"), F.col("precision_digits"), F.lit(True), F.lit(False))
+    """A record counts as monotone if its status is OK, as anchored if its boot has an anchor."""
+    anchored = table(s, d, "clock_anchors").where("boot_id IS NOT NULL").select("boot_id", F.lit(True).alias("anchored")).distinct()
+    rows = table(s, d, "parse_results").select("rec_id", "boot_id", "status", "ts_kind", "has_tz", "has_year", "precision_digits").distinct()
+    rows = rows.join(anchored, "boot_id", "left")
+    monotone, anchor = F.coalesce(F.col("status") == "OK", F.lit(False)), F.col("anchored").isNotNull()
+    score = sequence.time_confidence(F.col("ts_kind"), F.col("has_tz"), F.col("has_year"), F.col("precision_digits"), monotone, anchor)
     return rows.select("rec_id", score.alias("confidence"))
 
 

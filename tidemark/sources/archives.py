@@ -151,10 +151,10 @@ def excluded(path: Column) -> Column:
     return out
 
 
-def component(path: Column) -> Column:
+def component(path: Column, rules: list = COMPONENTS) -> Column:
     """struct<component, source_rank> by the first directory rule that the path matches."""
     out = F.struct(F.lit("unknown").alias("component"), F.lit(UNKNOWN_RANK).alias("source_rank"))
-    for part, name, rank in reversed(COMPONENTS):
+    for part, name, rank in reversed(rules):
         out = F.when(path.rlike(f"(^|/){part}/"), F.struct(F.lit(name).alias("component"), F.lit(rank).alias("source_rank"))).otherwise(out)
     return out
 
@@ -195,7 +195,7 @@ def detect_encoding(data: bytes) -> tuple[str | None, float, bool]:
     return best, round(min(1.0, share), 3), False
 
 
-def inventory(found: DataFrame) -> DataFrame:
+def inventory(found: DataFrame, rules: list = COMPONENTS) -> DataFrame:
     """Files of readable members, without their bytes: ids in order of archive and path, hash, encoding, component, rotation, alias.
 
     alias_of is the first file with the same bytes in the same archive. The order is a global one, so ids are dense.
@@ -216,7 +216,7 @@ def inventory(found: DataFrame) -> DataFrame:
     shape = "archive_path string, rel_path string, mtime_utc timestamp, file_sha256 string, size_bytes bigint, encoding string, encoding_conf float, is_binary boolean"
     named = rows.mapInPandas(run, shape).withColumn("file_name", F.element_at(F.split("rel_path", "/"), -1)).select(
         "*",
-        component(F.col("rel_path"))["component"].alias("component"), component(F.col("rel_path"))["source_rank"].alias("source_rank"),
+        component(F.col("rel_path"), rules)["component"].alias("component"), component(F.col("rel_path"), rules)["source_rank"].alias("source_rank"),
         rotation(F.col("file_name"))["rotation_group"].alias("rotation_group"), rotation(F.col("file_name"))["rotation_index"].alias("rotation_index"),
         excluded(F.col("rel_path")).alias("excluded"),
     )
