@@ -185,3 +185,22 @@ def test_blocks_of_a_hot_file_change_nothing(spark):
     ):
         whole = result(make(10**9))
         assert whole and all(result(make(w)) == whole for w in (3, 50))
+
+
+def test_summaries_of_tools(store, spark, small):
+    lines = table(spark, small, "log_lines")
+    out = store.call("describe_dataset")
+    assert out.ok and out.summary["total_records"] == lines.count() == sum(out.summary["levels"].values()) == sum(out.summary["ts_kinds"].values())
+    assert {r["component"] for r in out.rows} == {r.component for r in lines.select("component").distinct().collect()} and out.summary["run_id"]
+    assert [p["ota_phase"] for p in out.summary["phases"]] == [r["ota_phase"] for r in store.call("phase_timeline").rows]
+    tool = store.call("phase_timeline")
+    marked = tools.abort_markers(lines).collect()
+    assert [m["line_id"] for m in tool.summary["abort_markers"]] == [r.line_id for r in marked] and tool.summary["last_phase"] == tool.rows[-1]["ota_phase"]
+
+
+def test_quality_report_reads_and_adds_up(spark, small):
+    lines, files = table(spark, small, "log_lines"), table(spark, small, "files")
+    found = scores.report(lines, files)
+    assert all(sum(v["n"] for v in values.values()) == found["rows"] for values in found["by"].values())
+    assert set(found["checks"]) == {"unparsed", "confident", "time", "templates", "ids", "hashes", "records"} and found["passed"] == all(found["checks"].values())
+    assert f"- rows: {found['rows']}" in scores.report_text(found)

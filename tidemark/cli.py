@@ -1,4 +1,4 @@
-"""python -m tidemark.cli build ARCHIVES WORKSPACE | query WORKSPACE TOOL [JSON] | doctor"""
+"""python -m tidemark.cli build ARCHIVES WORKSPACE | query WORKSPACE TOOL [JSON] | verify WORKSPACE PACK | doctor"""
 
 from __future__ import annotations
 
@@ -20,6 +20,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("workspace")
     p.add_argument("tool")
     p.add_argument("args", nargs="?", default="{}")
+    p = sub.add_parser("verify")
+    p.add_argument("workspace")
+    p.add_argument("pack", help="an evidence pack as JSON")
     sub.add_parser("doctor")
     a = parser.parse_args(argv)
     from tidemark.session import local_session
@@ -37,6 +40,15 @@ def main(argv: list[str] | None = None) -> int:
         write_manifest(result, f"{a.workspace}/manifest.json")
         print(json.dumps(result, default=str))
         return 0 if all(result["checks"].values()) else 1
+    if a.command == "verify":
+        from tidemark.operators.evidence import verify_l0, verify_l1
+
+        with open(a.pack, encoding="utf-8") as f:
+            pack = json.load(f)
+        items = spark.createDataFrame([(i["row_hash"], i["raw_hash"]) for i in pack["items"]], "row_hash string, raw_hash string")
+        found = {r.row_hash: r.status for r in verify_l1(items, spark.read.parquet(f"{a.workspace}/log_lines")).collect()}
+        print(json.dumps({"pack": verify_l0(pack), "items": found}))
+        return 0 if verify_l0(pack) and set(found.values()) <= {"OK"} else 1
     from tidemark.operators.tools import LogStore
 
     tables = {n: spark.read.parquet(f"{a.workspace}/{n}") for n in ("log_lines", "files", "templates", "runs", "parse_errors") if os.path.exists(f"{a.workspace}/{n}")}
