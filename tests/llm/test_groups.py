@@ -162,6 +162,44 @@ def test_a_chain_of_small_steps_is_cut(spark):
         assert sorted(r.min_id for r in got) == cuts
 
 
+def test_parts_are_the_stretches_of_one_event_whatever_the_penalty(spark):
+    rnd = random.Random(11)
+    near = ["session opened by user", "session closed by user", "user by session opened", "session opened", "unit ready", ""]
+    rows, us = [], 0
+    for i in range(400):
+        us += rnd.choice([0, 1, 5, 20, 59, 60, 61, 400]) * 10**6
+        rows.append((rnd.choice(["f", "f", None]), us, i, rnd.choice(near[:2] if rnd.random() < 0.7 else near)))
+    rows += rows[5:60]
+    df = spark.createDataFrame(rows, "file string, us bigint, id bigint, ev string").withColumn("ts", F.timestamp_micros("us"))
+    want = run_model(rows, 60 * 10**6)
+    for penalty, shard_s in ((0.1, 5000), (0.25, 70), (0.25, 10**6), (0.6, 5000)):
+        how = (df, ["file"], "ts", "id", "ev", 60, penalty, runs.jaccard_distance, shard_s)
+        got = runs.collapse_runs(*how, parts=True).collect()
+        assert sorted((str(r.file), r.event, r.rows, r.first_us, r.last_us, r.min_id, r.max_id) for r in got) == want
+        whole = defaultdict(int)
+        for r in got:
+            whole[r.file, r.run_rows] += r.rows
+        for r in runs.collapse_runs(*how).collect():
+            whole[r.file, r.rows] -= r.rows
+        assert set(whole.values()) == {0} and (penalty < 0.2 or any(r.run_rows > r.rows for r in got))
+
+
+def test_p5_found_solves_runs_of_near_identical_events(spark, tmp_path, monkeypatch):
+    """They are one run of the recursion, which holds cases of both events."""
+    texts = ["session opened by user id=<*> now", "session closed by user id=<*> now", "Session opened, by user id=<*> now!"]
+    templates = spark.createDataFrame(list(enumerate(texts)), "template_id int, template_text string")
+    templates.toPandas().to_parquet(f"{tmp_path}/templates.parquet")
+    rows = [(1, "c", i, i, i, t) for i, t in enumerate([0, 2, 0, 0, 1, 0, 0, 2, 0, 1, 0, 1, 1, 1])]
+    lines = spark.createDataFrame(rows, "file_id int, component string, s bigint, line_no bigint, line_id bigint, template_id int")
+    lines.withColumn("ts_utc", F.timestamp_seconds("s")).toPandas().to_parquet(f"{tmp_path}/log_lines.parquet", coerce_timestamps="us")
+    seen, collapse = [], runs.collapse_runs
+    monkeypatch.setattr(runs, "collapse_runs", lambda *a, **k: seen.append(collapse(*a, **k)) or seen[-1])
+    oracle.check(spark, str(tmp_path), queries.p5_found, queries.ORACLE["p5_found"])
+    got = queries.p5_found(spark, str(tmp_path)).collect()
+    assert sorted((r.line_id_a, r.line_id_b) for r in got) == [(0, 3), (5, 8), (11, 13)]
+    assert any("run_rows" in f.columns and f.agg(F.max(F.col("run_rows") - F.col("rows"))).first()[0] > 3 for f in seen)
+
+
 def test_ties_in_time_go_by_the_given_order(spark):
     rows = [(1, 0, 3, 1, "a"), (1, 0, 2, 2, "b"), (1, 0, 1, 3, "a"), (1, 0, 0, 4, "a")]
     df = spark.createDataFrame(rows, "f int, s int, id int, n int, ev string").withColumn("ts", F.timestamp_seconds("s"))

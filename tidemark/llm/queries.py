@@ -50,7 +50,10 @@ def p5_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = runs.collapse_runs(_events(spark, d), ["file_id", "component"], "ts_utc", "line_id", "event", max_gap_s=60, order="line_no")
+    """The stretches of one event in the runs of near-identical ones."""
+    found = runs.collapse_runs(
+        _events(spark, d), ["file_id", "component"], "ts_utc", "line_id", "event", 60, dissimilarity=runs.jaccard_distance, order="line_no", parts=True
+    )
     return found.where(F.col("rows") >= 3).select(F.col("min_id").alias("line_id_a"), F.col("max_id").alias("line_id_b"))
 
 

@@ -13,6 +13,9 @@ from the row by less than twice the penalty, and neighbours that differ by four
 one run, whatever comes before them: such a cut is certain. The recursion starts anew at certain cuts, so that a task
 keeps one stretch between two of them. Equal events (dissimilarity 0 or 1) are the case in which one candidate is left.
 
+Neighbours that are equal and no further apart than the gap are never in two runs, so that the longest stretches of one
+event are parts of the runs, whatever the penalty and the dissimilarity; they come out with `parts`.
+
 Entities are sharded by time, so that no task holds the whole of a long one. A stretch that may go on beyond its shard
 is passed on as blocks of equal rows (never worth cutting) and solved with the stretches that it meets.
 """
@@ -81,13 +84,14 @@ class Segmenter:
         if len(vocabulary) == 1:
             return [0]
         least, live, back = 0.0, {}, []
+        near: dict[str, list[str]] = {}
         for i, (event, weight) in enumerate(zip(events, weights)):
             costs: dict[str, tuple[float, int]] = {}
-            for r in vocabulary:
+            if event not in near:
+                near[event] = [r for r in vocabulary if self.distance(r, event) < self.penalty]
+            for r in dict.fromkeys([*live, *near[event]]):
                 d = self.distance(r, event)
                 kept = live.get(r)
-                if kept is None and d >= self.penalty:
-                    continue
                 # (cost, minus the run's start): of equal costs the later start holds
                 begun = (least + self.penalty, -i)
                 before = begun if kept is None else min(kept, begun)
@@ -106,10 +110,15 @@ class Segmenter:
 Block = list
 
 
-def _joined(blocks: list[Block], starts: list[int]) -> Iterator[Block]:
+def _joined(blocks: list[Block], starts: list[int], parts: bool) -> Iterator[list]:
+    """The runs, or the blocks that they consist of, with the rows of the whole run."""
     for a, b in zip(starts, [*starts[1:], len(blocks)]):
         part = blocks[a:b]
-        yield [part[0][0], sum(x[1] for x in part), part[0][2], max(x[3] for x in part), min(x[4] for x in part), max(x[5] for x in part)]
+        rows = sum(x[1] for x in part)
+        if parts:
+            yield from ([*x, rows] for x in part)
+        else:
+            yield [part[0][0], rows, part[0][2], max(x[3] for x in part), min(x[4] for x in part), max(x[5] for x in part), rows]
 
 
 def _stretches(rows: Iterator[tuple], segmenter: Segmenter, gap_us: int) -> Iterator[tuple[tuple, list[Block], bool, bool]]:
@@ -138,7 +147,7 @@ def _stretches(rows: Iterator[tuple], segmenter: Segmenter, gap_us: int) -> Iter
         yield group, blocks, first, True
 
 
-def _solver(keys: list[str], schema: T.StructType, dissimilarity, penalty: float, gap_us: int, shard_us: int | None):
+def _solver(keys: list[str], schema: T.StructType, dissimilarity, penalty: float, gap_us: int, shard_us: int | None, parts: bool):
     names = [*keys, *schema.names[len(keys):]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +163,7 @@ def _solver(keys: list[str], schema: T.StructType, dissimilarity, penalty: float
                 yield from zip(group, *cols[len(keys) + 1 :])
 
         def made(out: list[tuple]) -> pa.RecordBatch:
-            kinds = [*types[: len(keys)], pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), *[pa.int64()] * 3, *types[-1:] * 2]
+            kinds = [*types[: len(keys)], pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), *[pa.int64()] * 3, *types[-1:] * 2, pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
         out: list[tuple] = []
@@ -164,11 +173,12 @@ def _solver(keys: list[str], schema: T.StructType, dissimilarity, penalty: float
             open_ = shard_us is not None and (
                 first and blocks[0][2] - shard * shard_us <= gap_us or last and (shard + 1) * shard_us - blocks[-1][3] <= gap_us
             )
-            found = blocks if open_ else _joined(blocks, segmenter.cuts([b[0] for b in blocks], [b[1] for b in blocks]))
-            out.extend((*group, seq := seq + 1, open_, not first and k == 0, *b) for k, b in enumerate(found))
-            if len(out) >= 10_000:
-                yield made(out)
-                out = []
+            starts = [0] if open_ else segmenter.cuts([b[0] for b in blocks], [b[1] for b in blocks])
+            for k, b in enumerate(_joined(blocks, starts, open_ or parts)):
+                out.append((*group, seq := seq + 1, open_, not first and k == 0, *b))
+                if len(out) >= 10_000:
+                    yield made(out)
+                    out = []
         if out:
             yield made(out)
 
@@ -186,9 +196,12 @@ def collapse_runs(
     dissimilarity: Callable[[str, str], float] = different,
     shard_s: int = SHARD_S,
     order: str | None = None,
+    parts: bool = False,
 ) -> DataFrame:
     """entity, event (of the first row), rows, first_us, last_us, duration_us, min_id, max_id: one row per run.
 
+    With parts: one row per longest stretch of one event in a run, and run_rows, the rows of the whole run.
+
     Order is ts, then `order` (nulls first), then row_id. Rows with a null ts, row_id or event are left out; null entities are
     entities of their own. A row delivered twice (same entity, ts, order, row_id and event) counts once.
     """
@@ -209,18 +222,20 @@ def collapse_runs(
     ).dropna(subset=["first_us", "min_id", "event"])
     run = ["event", "rows", "first_us", "last_us", "min_id", "max_id"]
     place = [rows.schema["shard"], T.StructField("seq", T.LongType()), *[T.StructField(c, T.BooleanType()) for c in ("open", "fresh")]]
-    schema = T.StructType([*[rows.schema[k] for k in keys], *place, *[T.StructField(c, rows.schema[c].dataType) for c in run]])
+    fields = [*place, *[T.StructField(c, rows.schema[c].dataType) for c in run], T.StructField("run_rows", T.LongType())]
+    schema = T.StructType([*[rows.schema[k] for k in keys], *fields])
     in_order = rows.repartition(*keys, "shard").sortWithinPartitions(*keys, "shard", "first_us", "place", "min_id", "event")
-    solved = in_order.drop("place").mapInArrow(_solver(keys, schema, dissimilarity, penalty, gap_us, shard_us), schema)
+    solved = in_order.drop("place").mapInArrow(_solver(keys, schema, dissimilarity, penalty, gap_us, shard_us, parts), schema)
     done = materialize(solved)
     met = (
         done.where("open")
         .repartition(*keys)
         .sortWithinPartitions(*keys, "shard", "seq")
         .select(*keys, F.lit(0).cast("bigint").alias("shard"), "fresh", *run)
-        .mapInArrow(_solver(keys, schema, dissimilarity, penalty, gap_us, None), schema)
+        .mapInArrow(_solver(keys, schema, dissimilarity, penalty, gap_us, None, parts), schema)
     )
     return done.where("NOT open").union(met).select(
         *[F.col(k).alias(c) for c, k in zip(entity, keys, strict=True)],
         "event", "rows", "first_us", "last_us", (F.col("last_us") - F.col("first_us")).alias("duration_us"), "min_id", "max_id",
+        *["run_rows"] * parts,
     )
